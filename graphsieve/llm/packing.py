@@ -13,7 +13,9 @@ of its own.
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,30 +28,49 @@ from graphsieve.llm.store import small_batches
 CAPACITY = 2048
 WINDOW_TOKENS = 1_000_000
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _ASCII_WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
 _ODD_SPACES = re.compile(r"[\x1c-\x1f]")
+#: ASCII but for the apostrophe, and Latin letters whose lower case is one letter; and how the tokenizer cuts such words.
+_SIMPLE = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+_PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 
 
 class WordEncoder(dict):
     """Ids of white-space separated words as little-endian 32-bit numbers.
 
     The tokenizer drops white space and nothing in it looks across white space, so the ids of a text are those of its
-    words in order; words are encoded once and remembered.
+    words in order; words are encoded once and remembered. Words of simple letters, without apostrophes or marks of
+    special tokens, are cut into the tokenizer's pre-tokens here, which are remembered too; others go to it whole.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
+        self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else self.bytes_as_text(part)[0][0]
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            if len(self.parts) >= CACHED_WORDS:
+                self.parts.clear()
+            self.parts[part] = found
+        return found
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if _SIMPLE(word) and "<|" not in word:
+            ids = b"".join(map(self.part, _PARTS(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = ids
@@ -62,6 +83,12 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+@functools.cache
+def encoder_of(file: str) -> WordEncoder:
+    """One for each Python worker, which later tasks use again."""
+    return WordEncoder(file)
+
+
 def assign(lengths: list[int], capacities: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
     """Deal documents' remaining tokens to sequences of the given capacities.
 
@@ -99,7 +126,7 @@ def _pack(file: str, capacity: int, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = WordEncoder(file)
+        encoder = encoder_of(file)
         base = TaskContext.get().partitionId() << 33
         made = 0
         held: list[tuple] = []  # (doc_id, start, ids, tokens of the document)
