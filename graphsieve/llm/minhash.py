@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphsieve.llm import textblocks as tb
@@ -183,6 +183,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     )
 
 
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns as they were, whose doc_id is the least of its group; of rows that repeat it, the one with the least text."""
+    found = written(near_duplicates(docs, width, percent, bands, rows), "groups")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    several = written(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    left = docs.join(written(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    again = left.join(several, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").select(docs.columns)
+    return left.join(several, "doc_id", "left_anti").select(docs.columns).union(again)
+
+
 def _open_buckets(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries, with their group and their place in a fixed random order from 0 to 1, of the buckets that lie in several groups."""
     held = entries.join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
