@@ -490,6 +490,12 @@ def atom_text(atom: QueryAtom) -> str:
 
 def to_smarts(query: Query) -> str:
     """Text with the atoms in their order where the bonds allow, ring closures numbered anew."""
+    return write(query)[0]
+
+
+def write(query: Query) -> tuple[str, list[int]]:
+    """The text, and the atoms in the order in which they stand in it."""
+    sequence: list[int] = []
     near = query.neighbours()
     seen: set[int] = set()
     closures: list[list[tuple[int, tuple | None, bool]]] = [[] for _ in query.atoms]
@@ -537,7 +543,7 @@ def to_smarts(query: Query) -> str:
             out += sign + (str(k) if k < 10 else f"%{k}" if k < 100 else f"%({k})")
         return out
 
-    def write(root: int) -> str:
+    def written(root: int) -> str:
         out: list[str] = []
         todo: list = [root]
         while todo:
@@ -545,6 +551,7 @@ def to_smarts(query: Query) -> str:
             if isinstance(item, str):
                 out.append(item)
                 continue
+            sequence.append(item)
             out.append(atom_text(query.atoms[item]) + ring_text(item))
             for k, (w, i) in reversed(list(enumerate(children[item]))):
                 last = k == len(children[item]) - 1
@@ -557,7 +564,7 @@ def to_smarts(query: Query) -> str:
         end = at + 1
         while group is not None and end < len(starts) and query.atoms[starts[end]].group == group:
             end += 1
-        text = ".".join(write(r) for r in starts[at:end])
+        text = ".".join(written(r) for r in starts[at:end])
         parts.append(f"({text})" if group is not None else text)
         at = end
-    return ".".join(parts)
+    return ".".join(parts), sequence
