@@ -92,3 +92,20 @@ def test_queries_against_sql(spark, name):
     names = [d[0] for d in con.description]
     got = chem.QUERIES[name](spark, SF)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want)
+
+
+def test_index_shards(spark, corpus, tmp_path):
+    from graphsieve.sources import index_store
+
+    index = screen.features(corpus)
+    path = str(tmp_path / "index")
+    shards = index_store.write(index, path, 3)
+    assert shards.count() == 3
+    needs = screen.requirement_table(spark, list(enumerate(PATTERNS[:-1])))
+    whole = sorted(map(tuple, screen.candidates(index, needs).collect()))
+    assert sorted(map(tuple, screen.candidates(index_store.read(spark, path), needs).collect())) == whole
+    parts = [tuple(r) for k in range(3) for r in screen.candidates(index_store.read(spark, path, [k]), needs).collect()]
+    assert sorted(parts) == whole
+    index.withColumn("shard_id", (index.mol_id % 2)).write.partitionBy("shard_id").parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="overlap"):
+        index_store.read(spark, str(tmp_path / "bad"))
