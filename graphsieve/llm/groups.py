@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from graphsieve.llm.store import written
 
 
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over each batch of edges: every vertex with the least vertex that the batch links it to."""
     for batch in batches:
@@ -33,6 +36,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names[parents[keep]]), pa.array(names[keep])], ["a", "b"])
 
 
+#: So many edges at most, 16 bytes each, are joined in one task; more are contracted by shuffles.
+SMALL = 1_000_000
+
+
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _forest(iter(pa.Table.from_batches(list(batches), _EDGES).combine_chunks().to_batches()))
+
+
 def _toward_least(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each vertex points its greater neighbours to its least one. Small star: its smaller neighbours and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -52,6 +63,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     now = written(edges.mapInArrow(_forest, "a long, b long").distinct(), "forest")
+    if now.count() <= SMALL:
+        now = written(now.coalesce(1).mapInArrow(_whole_forest, "a long, b long"), "forest")
+        return now.select(F.col("b").alias("v"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
     state = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
