@@ -68,6 +68,16 @@ class Corpus:
         turned = self.bonds.select("mol_id", "bond_id", F.col("b").alias("a"), F.col("a").alias("b"), "label", "in_ring")
         return self.bonds.select("mol_id", "bond_id", "a", "b", "label", "in_ring").union(turned)
 
+    def local(self, partitions: int) -> Corpus:
+        """The same with atoms and bonds dealt by mol_id and kept, so that every join of a pattern stays within its partition.
+
+        Spark knows how they are dealt once they are computed, so count them first. Sets spark.sql.requireAllClusterKeysForCoPartition
+        to false, without which Spark deals anew by mol_id and atom.
+        """
+        self.atoms.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        atoms, bonds = (df.repartition(partitions, "mol_id").persist() for df in (self.atoms, self.bonds))
+        return Corpus(self.molecules, atoms, bonds, self.errors)
+
     def write(self, path: str, shards: int | None = None) -> None:
         """Parquet with zstd; with shards, partitioned by shard_id, the hash of mol_id."""
         for name in ("molecules", "atoms", "bonds", "errors"):

@@ -109,3 +109,20 @@ def test_index_shards(spark, corpus, tmp_path):
     index.withColumn("shard_id", (index.mol_id % 2)).write.partitionBy("shard_id").parquet(str(tmp_path / "bad"))
     with pytest.raises(ValueError, match="overlap"):
         index_store.read(spark, str(tmp_path / "bad"))
+
+
+def test_joins_of_a_local_corpus_need_no_shuffle(spark, corpus):
+    held = corpus.local(4)
+    held.atoms.count(), held.bonds.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = match.counts(held, "CC(=O)[O;H1,-]")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ENSURE_REQUIREMENTS") == 0
+        assert {tuple(r) for r in found.collect()} == {tuple(r) for r in match.counts(corpus, "CC(=O)[O;H1,-]").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+        held.atoms.unpersist()
+        held.bonds.unpersist()
