@@ -119,12 +119,16 @@ def ring(docs: DataFrame) -> DataFrame:
 
 def with_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every row of docs and of its edited text, whose last half is taken from the next document's beginning."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    links = ring(base)
-    first = base.agg(F.max("doc_id")).first()[0]
-    place = Window.partitionBy("doc_id").orderBy("text")
-    follower = base.where("doc_id IS NOT NULL").withColumn("place", F.row_number().over(place)).where("place = 1").select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    met = base.join(links, "doc_id", "left").withColumn("next_id", F.coalesce("next_id", F.lit(first).cast("bigint"))).join(follower, "next_id", "left")
+    # New names, so that both sides of the join below have one and the same exchange, which is then made once.
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    links = ring(docs)
+    first = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    known = base.where("id IS NOT NULL")
+    again = F.lag(F.lit(1)).over(Window.partitionBy("id").orderBy("body"))
+    follower = known.withColumn("again", again).where("again IS NULL").select(F.col("id").alias("next_id"), F.col("body").alias("next_text"))
+    lost = base.where("id IS NULL").select(F.col("id").alias("doc_id"), F.col("body").alias("text"), F.lit(first).cast("bigint").alias("next_id"))
+    linked = known.join(links, known.id == links.doc_id).select(known.id.alias("doc_id"), F.col("body").alias("text"), "next_id")
+    met = linked.union(lost).join(follower, "next_id", "left")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
