@@ -15,6 +15,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphsieve.functions.sql import smiles_match
 from graphsieve.plans.kernel import STATES, bond_states
 from graphsieve.smarts.query import Query, parse
 from graphsieve.sources.tables import Corpus
@@ -170,13 +171,11 @@ def may_match(index: DataFrame, needs: DataFrame) -> DataFrame:
     return candidates(index, needs, ("count",))
 
 
-def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, str]], seconds: float | None = None) -> DataFrame:
+def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
     """(query_id, mol_id) of exact matches: each pattern is matched with its candidates only."""
     spark = index.sparkSession
     found = candidates(index, requirement_table(spark, patterns)).join(corpus.molecules, "mol_id")
     named = found.join(F.broadcast(spark.createDataFrame(patterns, "query_id long, smarts string")), "query_id")
-    from graphsieve.functions.sql import smiles_match
-
     return named.where(smiles_match("smiles", "smarts")).select("query_id", "mol_id")
 
 
@@ -193,5 +192,3 @@ def mine(index: DataFrame, least: int = 4, top: int | None = None) -> DataFrame:
     place = Window.partitionBy("family").orderBy(F.desc("support"), "key")
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).drop("place")
 
-
-__all__ = ["candidates", "features", "forced", "hits", "may_match", "mine", "requirement_table", "requirements", "statistics"]

@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from graphsieve.workers import path_for_workers
+
+path_for_workers()
 SF = "/root/testdata/sf0.001"
 
 
