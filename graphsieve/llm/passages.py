@@ -2,7 +2,7 @@
 
 A sentence ends after a word that ends in . ! or ?, at a line feed, and at the text's end; one of more than LONG words is
 also cut after words whose hash is divisible by 8, which falls alike wherever the words are copied to. From each
-sentence a span runs over the next ones until it has 3 sentences and 15 words, or 40 words; where no span ends at a
+sentence a span runs over the next ones until it has 3 sentences and 15 words, or 2 and 25, or 40 words; where no span ends at a
 sentence, the shortest such span before it is taken too, so that the last sentences of a passage are covered. Spans are
 hashed over their words (A-Z lower-cased), spans with equal hashes are joined globally, and every sentence goes that lies in a span
 which is not the first of its kind, by doc_id and place.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graphsieve.llm import textblocks as tb
 from graphsieve.llm.store import small_batches, written
 
-SENTENCES, WORDS, ENOUGH, LONG, CUT_EVERY = 3, 15, 40, 40, 8
+SENTENCES, WORDS, FEWER, MORE, ENOUGH, LONG, CUT_EVERY = 3, 15, 2, 25, 40, 40, 8
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
@@ -62,10 +62,10 @@ class Sentences:
         at = np.arange(n)
         low, high = (np.repeat(x, np.diff(self.of_row)) for x in (self.of_row[:-1], self.of_row[1:]))
         reach = lambda w: np.searchsorted(self.end, self.first + w, "left")
-        last = np.minimum(np.maximum(at + SENTENCES - 1, reach(WORDS)), reach(ENOUGH))
+        last = np.minimum(np.minimum(np.maximum(at + SENTENCES - 1, reach(WORDS)), np.maximum(at + FEWER - 1, reach(MORE))), reach(ENOUGH))
         fits = last < high
         begin = lambda w: np.searchsorted(self.first, self.end - w, "right") - 1
-        start = np.maximum(np.minimum(at - SENTENCES + 1, begin(WORDS)), begin(ENOUGH))
+        start = np.maximum(np.maximum(np.minimum(at - SENTENCES + 1, begin(WORDS)), np.minimum(at - FEWER + 1, begin(MORE))), begin(ENOUGH))
         reached = np.zeros(n, bool)
         reached[last[fits]] = True
         back = ~reached & (start >= low)
