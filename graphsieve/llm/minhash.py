@@ -183,12 +183,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sketch = written(docs.mapInArrow(_sketches(width, bands, rows), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "sketches")
     known = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
 
-    least = known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    # Sums are stored before they are joined, so that Spark can split the partitions of hot keys in the join.
+    least = written(known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "least")
     classes = written(known.select("doc_id", "key1", "key2").join(least, ["key1", "key2"]).select("doc_id", "rep"), "classes")
     reps = known.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
 
     entries = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    met = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
+    met = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last"), "met")
     buckets = written(entries.join(met, "bucket").select("bucket", "doc_id", "leader", "n"), "buckets")
 
     pairs = written(buckets.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
@@ -226,10 +227,10 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, bands:
 def _open_buckets(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries (bucket, doc_id, root) of the buckets that lie in several groups, with the bucket's largest group as `main` and its
     number of members, n, and of members outside that group, minor."""
-    held = entries.join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    held = written(entries.join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "held")
     sizes = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
     several = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("largest"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    return held.join(several.select("bucket", F.col("largest.root").alias("main"), "n", (F.col("n") - F.col("largest.size")).alias("minor")), "bucket")
+    return held.join(written(several.select("bucket", F.col("largest.root").alias("main"), "n", (F.col("n") - F.col("largest.size")).alias("minor")), "several"), "bucket")
 
 
 def _likely_pairs(open_: DataFrame, places: DataFrame, bands: int, best: int | None) -> DataFrame:
@@ -269,3 +270,17 @@ def _compare(bands: int, best: int | None):
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
+
+
+#: The groups by comparing all documents that share a shingle, for tables on which that can be afforded.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * k >= 80 * (n + m - k)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON least.doc_id = s.doc_id
+"""

@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_pairwise_quality, op2_minhash, op3_warc, op4_licenses, op5_fingerprints, op6_mixing, op7_lines, op8_packing, op9_passages, op10_trees)
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op7_lines": lines.SQL}
+ORACLES: dict[str, str] = {"op2_minhash": minhash.SQL, "op3_warc": warc.SQL, "op6_mixing": mixing.SQL, "op7_lines": lines.SQL}
