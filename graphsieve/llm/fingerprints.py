@@ -34,7 +34,7 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
     def runs(w: Column) -> Column:
         n = F.size(w)
         several = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
-        return F.when(n >= width, several).when(n > 0, F.array(F.expr("xxhash64(42L)") * 0 + F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= width, several).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
     return _let(F.transform(words, lambda x: F.xxhash64(x)), runs)
 

@@ -159,3 +159,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to archives in the shared folder and reads every record back, without payloads."""
     path = new_path(pages.sparkSession, "warc")
     return read(write(pages, path), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+shared AS (SELECT payload, min(page_id) AS first FROM p WHERE strlen(payload) >= {LEAST_BYTES} GROUP BY payload HAVING count(*) > 1)
+SELECT page_id, CAST(strlen(p.payload) AS BIGINT) AS payload_bytes, sha256(p.payload) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN shared ON shared.payload = p.payload
+"""
