@@ -151,7 +151,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = written(text.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_spans, "h long, doc_id long, first int, last int, fresh boolean"), "spans")
-    repeated = spans.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "owner")
+    # Stored before it is joined, so that Spark can split the partitions of very frequent spans in the join.
+    repeated = written(spans.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "owner"), "repeated")
     later = spans.join(repeated, "h").where("doc_id > owner OR NOT fresh")
     bad = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "h")).alias("bad"))
     return text.join(bad, "doc_id", "left").mapInArrow(_cut, _OUT)
