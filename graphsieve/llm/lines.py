@@ -46,8 +46,9 @@ def without_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAS
     inner = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"c{i}") for i, c in enumerate(own)])
     flagged = boilerplate(docs, site, least, margin)
     whole = F.xxhash64("text").alias("t")
-    marks = _lines(docs.select(F.col("text").cast("string").alias("text")), whole).join(flagged, "h").groupBy("t").agg(F.collect_set("h").alias("bad"))
-    met = inner.withColumn("t", F.xxhash64(F.col("text").cast("string"))).join(marks, "t", "left").withColumn("lines", F.split("text", "\n"))
+    # Stored before it is joined, and merged whatever its size, so that Spark can split the partitions of large groups of copies in the join.
+    marks = written(_lines(docs.select(F.col("text").cast("string").alias("text")), whole).join(flagged, "h").groupBy("t").agg(F.collect_set("h").alias("bad")), "marks")
+    met = inner.withColumn("t", F.xxhash64(F.col("text").cast("string"))).join(marks.hint("merge"), "t", "left").withColumn("lines", F.split("text", "\n"))
     kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _key(x)))
     sized = met.withColumn("kept", F.when(F.col("bad").isNotNull(), kept))
 
