@@ -40,7 +40,7 @@ SHORT, LIKELY_SHORT, LIKELY_LONG = 500, 0.752, 0.738
 #: Pairs that a member is first confirmed with in each block; only what these leave apart is held against all likely ones.
 BEST = 4
 
-PERMUTATION_BYTES = 48 << 20
+PERMUTATION_BYTES = 24 << 20
 _FRACTION = np.uint64(48)
 _LOW48 = np.uint64((1 << 48) - 1)
 

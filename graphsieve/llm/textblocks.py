@@ -13,8 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
-SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _POSITIONS = 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
