@@ -2,8 +2,9 @@
 
 A HyperLogLog sketch of sites is kept for each line hash and merged by aggregation. Lines whose estimate is clearly
 under or over the threshold are decided by it; those within `margin` of it get an exact distinct count. Lines on `least` sites
-or more are removed wherever they stand, except in documents of which they would make up more than `most_share` of the
-characters: such a document is a copy, which is a matter for near-duplicate detection, and is left as it is.
+or more are removed wherever they stand if `most_share` is None; then only a text that has nothing else is left as it is, so that it
+does not become empty. With a number, documents of which they would make up more than `most_share` of the characters are
+left as they are; these keep their boilerplate, and no later step removes it. The SQL is that of a share of MOST_SHARE.
 
 Lines are split at line feeds and compared without spaces around them; empty ones are never removed.
 
@@ -40,7 +41,7 @@ def boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST_SITES,
     return written(estimated.where(F.col("sites") > least * (1 + margin)).select("h").union(exact.select("h")), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST_SITES, margin: float = MARGIN, most_share: float = MOST_SHARE) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST_SITES, margin: float = MARGIN, most_share: float | None = MOST_SHARE) -> DataFrame:
     """docs with `text` cut; after their own columns n_lines, and n_removed lines. A column of docs with such a name is kept instead."""
     own = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"c{i}") for i, c in enumerate(own)])
@@ -55,7 +56,8 @@ def without_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAS
     def size(c: str) -> Column:
         return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.char_length(x))
 
-    cut = sized.withColumn("cut", F.coalesce((size("lines") - size("kept")) <= size("lines") * most_share, F.lit(False)))
+    small = F.exists("kept", lambda x: F.trim(x) != "") if most_share is None else (size("lines") - size("kept")) <= size("lines") * most_share
+    cut = sized.withColumn("cut", F.coalesce(small, F.lit(False)))
     cut = cut.withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.when(F.col("cut"), F.size("lines") - F.size("kept")).otherwise(0).cast("long"))
     text = F.when(F.col("cut"), F.array_join("kept", "\n")).otherwise(F.col("text"))
     names = [("text" if c == "text" else f"c{i}") for i, c in enumerate(own)]

@@ -53,6 +53,13 @@ def test_lines(steps):
         assert r.text == ("\n".join(kept) if small else rows[r.doc_id].text)
 
 
+def test_lines_go_from_documents_of_mostly_boilerplate(spark):
+    notice = "We use cookies and similar means to make this site work for all of its readers"
+    given = [(i, f"own words {i}\n{notice}", "en", f"s{i}", 90) for i in range(12)] + [(99, f"{notice}\n", "en", "s1", 80)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    assert got == {i: (f"own words {i}", len(f"own words {i}")) for i in range(12)} | {99: (f"{notice}\n", 80)}
+
+
 def test_near_dedup(steps):
     _, before, after = steps[2]
     root = o.near_duplicates([(r.doc_id, r.text) for r in before.collect()], 5)
