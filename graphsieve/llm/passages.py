@@ -1,11 +1,19 @@
 """Removal of repeated passages: sliding spans of consecutive sentences.
 
 A sentence ends after a word that ends in . ! or ?, at a line feed, and at the text's end; one of more than LONG words is
-also cut after words whose hash is divisible by 8, which falls alike wherever the words are copied to. From each
-sentence a span runs over the next ones until it has 3 sentences and 15 words, or 2 and 25, or 40 words; where no span ends at a
-sentence, the shortest such span before it is taken too, so that the last sentences of a passage are covered. Spans are
-hashed over their words (A-Z lower-cased), spans with equal hashes are joined globally, and every sentence goes that lies in a span
-which is not the first of its kind, by doc_id and place.
+also cut after words whose hash is divisible by 8. From each sentence a span runs over the next ones until it has 3 sentences
+and 15 words, or 2 and 25, or 40 words; where no span ends at a sentence, the shortest such span before it is taken too, so
+that the last sentences of a passage are covered. These ends depend on what stands around a passage: on line feeds, and at its first
+and last sentence on the words that the sentence has outside.
+
+So that any run of SHARED words holds a span that it has wherever it is copied to, spans are taken by words alone as well: those
+by the same rule over sentences that end at . ! or ? only; and in each run of SHARED words of a text in which no such span
+lies whole, after a sentence end of the run itself, the SEED words in turn with the least hash (winnowing). Texts are
+cut into sentences and, at the edges of seeds, into parts of them. So every SHARED words of a passage hold a span of WORDS or
+more that goes; at each edge as many as SHARED - WORDS words may stay, and fewer between spans.
+
+Spans are hashed over their words (A-Z lower-cased), spans with equal hashes are joined globally, and every sentence or part of
+one goes that lies in a span which is not the first of its kind, by doc_id and place.
 
 Defined cases: a null text stays null; a text whose words do not fill a span stays as it is; a null doc_id is neither compared
 nor cut; rows that repeat a doc_id count as one document, so that equal ones are cut alike; other columns are not looked at;
@@ -25,14 +33,24 @@ from graphsieve.llm import textblocks as tb
 from graphsieve.llm.store import small_batches, written
 
 SENTENCES, WORDS, FEWER, MORE, ENOUGH, LONG, CUT_EVERY = 3, 15, 2, 25, 40, 40, 8
+#: Words of a run that is never missed whole, and of a span inside it where its sentences give none.
+SHARED, SEED = 50, 26
+_SLICE = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _CLOSERS = np.isin(np.arange(256), np.frombuffer(b"\"')]", np.uint8))
 
 
+def _last(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each sentence the last one of the span that begins with it; past the end where there are too few."""
+    at = np.arange(len(end))
+    reach = lambda w: np.searchsorted(end, first + w, "left")
+    return np.minimum(np.minimum(np.maximum(at + SENTENCES - 1, reach(WORDS)), np.maximum(at + FEWER - 1, reach(MORE))), reach(ENOUGH))
+
+
 class Sentences:
-    """first, end: each sentence's first word and the word after its last one, over all rows; of_row: each row's first sentence."""
+    """first, end: first word, and the word after the last one, of each sentence or part of one, over all rows; of_row: each row's first part."""
 
     def __init__(self, column: pa.Array):
         self.texts = texts = tb.texts_of(column)
@@ -44,10 +62,15 @@ class Sentences:
         feeds = np.concatenate([[0], np.cumsum(texts.data == 0x0A, dtype=np.int64)])
         final = np.zeros(n, bool)
         final[words.first[1:][words.first[1:] > words.first[:-1]] - 1] = True
-        stop = _ENDS[texts.data[last]] | final if n else final
+        marked = _ENDS[texts.data[last]] if n else final
+        stop = marked | final
         stop[:-1] |= feeds[words.starts[1:]] > feeds[words.ends[:-1]]
         stop |= (np.repeat(*self._sizes(stop)) > LONG) & (hashes % np.uint64(CUT_EVERY) == 0)
-        self.end = np.flatnonzero(stop) + 1
+        self._whole = np.flatnonzero(stop) + 1
+        self._sum_words()
+        self._plain = self._plain_spans(np.flatnonzero(marked) + 1)
+        self.seeds = self._seeds(np.flatnonzero(marked) + 1)
+        self.end = np.unique(np.concatenate([self._whole, self.seeds[self.seeds > 0], self.seeds + SEED]))
         self.first = np.concatenate([[0], self.end[:-1]]) if n else self.end
         self.of_row = np.searchsorted(self.first, words.first)
 
@@ -56,32 +79,65 @@ class Sentences:
         size = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
         return size, size
 
+    def _sum_words(self) -> None:
+        n = len(self.hashes)
+        powers = np.full(n, _BASE, np.uint64)
+        self._inverse = inverse = np.full(n, _INVERSE, np.uint64)
+        if n:
+            powers[0] = inverse[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        np.multiply.accumulate(inverse, out=inverse)
+        self._total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers, dtype=np.uint64)])
+
+    def _run_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return tb.mix((self._total[b] - self._total[a]) * self._inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(a) else np.zeros(0, np.uint64)
+
+    def _plain_spans(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word, and the word after the last one, of the spans between marked ends; the latter is past all words where a span does not fit in its row."""
+        far = len(self.hashes) + SHARED
+        first, end = ends, np.append(ends[1:], far)[: len(ends)]
+        last = _last(first, end)
+        to = np.where(last < len(end), end[np.minimum(last, len(end) - 1)], far) if len(end) else end
+        row = np.searchsorted(self.words.first, first, "right")
+        return first, np.where(to <= np.append(self.words.first, 0)[row], to, far)
+
+    def _seeds(self, ends: np.ndarray) -> np.ndarray:
+        """First words of the seeds."""
+        row_end = np.repeat(self.words.first[1:], self.words.counts)
+        run = np.arange(len(row_end))
+        run = run[run + SHARED <= row_end]
+        to = np.append(self._plain[1], len(self.hashes) + SHARED)
+        run = run[to[np.searchsorted(ends, run + 1, "left")] > run + SHARED]
+        at = np.arange(max(len(self.hashes) - SEED + 1, 0))
+        hashes, inside = self._run_hashes(at, at + SEED) if len(run) else at, np.arange(SHARED - SEED + 1)
+        found = [part + hashes[part[:, None] + inside].argmin(axis=1) for part in (run[a : a + _SLICE] for a in range(0, len(run), _SLICE))]
+        return np.unique(np.concatenate(found)) if found else run
+
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last sentence of every span."""
-        n = len(self.end)
+        """First and last part of every span, in order."""
+        end = self._whole
+        n = len(end)
+        begin_of = np.concatenate([[0], end[:-1]]) if n else end
+        of_row = np.searchsorted(begin_of, self.words.first)
         at = np.arange(n)
-        low, high = (np.repeat(x, np.diff(self.of_row)) for x in (self.of_row[:-1], self.of_row[1:]))
-        reach = lambda w: np.searchsorted(self.end, self.first + w, "left")
-        last = np.minimum(np.minimum(np.maximum(at + SENTENCES - 1, reach(WORDS)), np.maximum(at + FEWER - 1, reach(MORE))), reach(ENOUGH))
+        low, high = (np.repeat(x, np.diff(of_row)) for x in (of_row[:-1], of_row[1:]))
+        last = _last(begin_of, end)
         fits = last < high
-        begin = lambda w: np.searchsorted(self.first, self.end - w, "right") - 1
+        begin = lambda w: np.searchsorted(begin_of, end - w, "right") - 1
         start = np.maximum(np.maximum(np.minimum(at - SENTENCES + 1, begin(WORDS)), np.minimum(at - FEWER + 1, begin(MORE))), begin(ENOUGH))
         reached = np.zeros(n, bool)
         reached[last[fits]] = True
         back = ~reached & (start >= low)
-        return np.concatenate([at[fits], start[back]]), np.concatenate([last[fits], at[back]])
+        plain = self._plain[1] <= len(self.hashes)
+        a = np.concatenate([begin_of[fits], begin_of[start[back]], self._plain[0][plain], self.seeds])
+        b = np.concatenate([end[last[fits]], end[back], self._plain[1][plain], self.seeds + SEED])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (np.diff(a) > 0) | (np.diff(b) > 0)])[: len(a)]
+        return np.searchsorted(self.first, a[new]), np.searchsorted(self.end, b[new])
 
     def span_hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        n = len(self.hashes)
-        powers = np.full(n, _BASE, np.uint64)
-        inverse = np.full(n, _INVERSE, np.uint64)
-        if n:
-            powers[0] = inverse[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        np.multiply.accumulate(inverse, out=inverse)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers, dtype=np.uint64)])
-        a, b = self.first[first], self.end[last]
-        return tb.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(a) else np.zeros(0, np.uint64)
+        return self._run_hashes(self.first[first], self.end[last])
 
     def row_of(self, sentence: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.of_row, sentence, "right") - 1
@@ -92,8 +148,6 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batch):
             s = Sentences(block.column("text"))
             first, last = s.spans()
-            order = np.lexsort((last, first))
-            first, last = first[order], last[order]
             row = s.row_of(first)
             h = s.span_hashes(first, last)
             fresh = np.zeros(len(h), bool)
@@ -123,7 +177,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(column: pa.Array, bad: pa.StructArray) -> tuple[str, list[dict], int]:
-    """The text without the sentences in the given spans, the cut stretches in code points, and the number of sentences."""
+    """The text without the sentences in the given spans, the cut stretches in code points, and the number of sentences and parts."""
     s = Sentences(column)
     first, last, h = (bad.field(f).to_numpy(zero_copy_only=False) for f in ("first", "last", "h"))
     there = last < len(s.end)
@@ -147,7 +201,7 @@ def _without(column: pa.Array, bad: pa.StructArray) -> tuple[str, list[dict], in
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, the cut text, n_removed sentences, and the removed spans of the old text in code points, for every row of docs."""
+    """doc_id, the cut text, n_removed sentences and parts of them, and the removed spans of the old text in code points, for every row of docs."""
     small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = written(text.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_spans, "h long, doc_id long, first int, last int, fresh boolean"), "spans")

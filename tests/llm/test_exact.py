@@ -280,6 +280,32 @@ def test_passages_by_brute_force(docs):
         assert next(r.n_removed for r in out if r.doc_id == i) == len(gone)
 
 
+def _spans_within(words, a, b):
+    """Runs of words that the spans of a text take from its words a to b."""
+    import pyarrow as pa
+
+    s = passages.Sentences(pa.array(["", " ".join(words), "next row."]))
+    first, last = s.spans()
+    return {tuple(words[s.first[i] : s.end[j]]) for i, j in zip(first, last, strict=True) if s.first[i] >= a and s.end[j] <= b}
+
+
+def test_any_shared_run_of_50_words_holds_a_common_span(spark):
+    rng = np.random.default_rng(4)
+    made = lambda n, ends: [f"w{x}" + ("." if e else "") for x, e in zip(rng.integers(0, 1000, n), rng.random(n) < ends, strict=True)]
+    for k in range(600):
+        run = made(50, [0, 0.02, 0.05, 0.1, 0.3][k % 5])
+        around = [(made(a, 0.05), made(b, 0.05)) for a, b in rng.integers(0, 60, (2, 2))]
+        one, two = (_spans_within(before + run + after, len(before), len(before) + 50) for before, after in around)
+        assert one & two
+    sentence = lambda n, name: " ".join(f"{name}{i}" for i in range(n - 1)) + f" {name}."
+    for a, b in ((26, 26), (30, 30), (35, 35), (26, 39)):
+        passage = sentence(a, "p") + " " + sentence(b, "q")
+        table = spark.createDataFrame([(1, "Full stop. " + passage + " first end"), (2, " ".join(f"x{i}" for i in range(20)) + " " + passage + " other stop")], "doc_id long, text string")
+        got = {r.doc_id: r for r in passages.without_repeats(table).collect()}
+        assert got[1].n_removed == 0 and got[2].n_removed > 0 and got[2].text.startswith("x0 ") and got[2].text.endswith("other stop")
+        assert len(got[2].text.split()) <= 22 + a + b - 26
+
+
 def test_rule_counts(spark, docs, awkward, empty):
     forest = trees.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     for table in (docs, awkward):
