@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphsieve.llm import textblocks as tb
@@ -214,14 +214,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The rows of docs, all columns as they were, whose doc_id is the least of its group; of rows that repeat it, the one with the least text."""
-    found = written(near_duplicates(docs, width, percent, bands, rows), "groups")
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    several = written(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
-    left = docs.join(written(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    again = left.join(several, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").select(docs.columns)
-    return left.join(several, "doc_id", "left_anti").select(docs.columns).union(again)
+    """The rows of docs, all columns as they were, that come first in their group, by doc_id and text.
+
+    Rows that repeat a doc_id are compared by their own texts, each as a document of its own: one goes only if its text is linked
+    with one that stays, or if it repeats both doc_id and text.
+    """
+    several = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        found = near_duplicates(docs, width, percent, bands, rows)
+        return docs.join(written(found.where("NOT kept").select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(docs.columns)
+    # Numbers in the order of doc_id and text, stored as another run could give others; the number of ranges is fixed, as merged ones could lose the order.
+    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id IS NULL"))
+    ranges = once.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    numbered = written(ranges.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"), width, percent, bands, rows)
+    return numbered.join(written(found.where("NOT kept").select(F.col("doc_id").alias("_row")), "gone"), "_row", "left_anti").select(docs.columns)
 
 
 def _open_buckets(entries: DataFrame, labels: DataFrame) -> DataFrame:

@@ -66,6 +66,13 @@ def test_near_dedup(steps):
     assert sorted(r.doc_id for r in after.collect()) == sorted({root[i] for i in root})
 
 
+def test_near_dedup_keeps_other_texts_of_a_repeated_id(spark):
+    words = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    given = [(1, words["a"]), (5, words["a"] + " more"), (5, words["b"]), (5, words["c"]), (5, words["c"]), (6, words["b"]), (7, words["d"]), (7, words["d"] + " more"), (None, words["d"]), (8, ""), (8, ""), (8, None)]
+    kept = minhash.one_of_each_group(spark.createDataFrame(given, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([given[0], given[2], given[3], given[6], given[8], given[9], given[11]], key=repr)
+
+
 def test_mixing_and_packing(steps):
     _, before, mixed = steps[3]
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in before.collect()}
