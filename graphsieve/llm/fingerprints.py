@@ -86,11 +86,13 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merged(parts: DataFrame, key: str, sketch: str, k: int = K, salts: int = 64) -> DataFrame:
-    """(key, sketch): one fingerprint for each key out of many parts. A key's hashes are first cut to k within each of `salts` shares."""
+    """(key, sketch): one fingerprint for each key out of many parts. A key's hashes are first cut to k within each of `salts` shares; one whose parts are all empty has an empty fingerprint."""
     rows = parts.select(key, F.explode(sketch).alias("h")).distinct().withColumn("salt", F.pmod(F.col("h"), F.lit(salts)))
     for by in ([key, "salt"], [key]):
         rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("place") <= k)
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch))
+    full = rows.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list("h")).alias(sketch))
+    keys = parts.select(key).distinct()
+    return keys.join(full, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce(sketch, F.array().cast("array<bigint>")).alias(sketch))
 
 
 def ring(docs: DataFrame) -> DataFrame:

@@ -161,6 +161,11 @@ def test_fingerprints_merge(spark):
     assert fingerprints.merged(parts, "k", "s").first().s == r.m
 
 
+def test_fingerprints_merge_of_empty_parts(spark):
+    parts = spark.createDataFrame([("a", []), ("a", []), ("b", []), ("b", [7, 9]), ("b", [3, 7]), ("c", None), (None, [5]), (None, [])], "k string, s array<bigint>")
+    assert rows(fingerprints.merged(parts, "k", "s", k=2), "k", "s") == sorted([("a", []), ("b", [3, 7]), ("c", []), (None, [5])], key=repr)
+
+
 def test_mixing(spark, awkward, empty):
     got = mixing.mix(awkward, {"a": 3.0, "b": 1.0}, total=4000)
     n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
