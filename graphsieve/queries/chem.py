@@ -337,6 +337,25 @@ FROM b e JOIN a p ON p.lib = e.lib AND p.atom = e.x JOIN a q ON q.lib = e.lib AN
 SELECT count(DISTINCT kind) AS kinds, CAST(count(*) AS BIGINT) AS support FROM part JOIN kinds ON p_partkey % {len(MOLECULES)} = lib"""
 
 
+@query
+def mine_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonds, paths of 3 and 4 atoms and stars that stand in enough molecules, by elements, aromaticity, bond labels and rings."""
+    _, index = _index(spark, sf_dir)
+    return screen.mine(index)
+
+
+ORACLES["mine_shapes"] = f"""WITH {tables()}, c AS (SELECT lib, atom, z || CASE WHEN arom THEN 'a' ELSE 'A' END AS code FROM a),
+d AS (SELECT b.lib, x, y, p.code AS cx, q.code AS cy, label || CASE WHEN ring THEN '@' ELSE '!' END AS bond FROM b JOIN c p ON p.lib = b.lib AND p.atom = x JOIN c q ON q.lib = b.lib AND q.atom = y),
+shapes AS (SELECT lib, 'edge' AS family, [cx, bond, cy] AS parts FROM d WHERE x < y
+UNION ALL SELECT e.lib, 'path3', [e.cy, e.bond, e.cx, f.bond, f.cy] FROM d e JOIN d f ON f.lib = e.lib AND f.x = e.x AND e.y < f.y
+UNION ALL SELECT m.lib, 'path4', [e.cy, e.bond, m.cx, m.bond, m.cy, f.bond, f.cy] FROM d m JOIN d e ON e.lib = m.lib AND e.x = m.x AND e.y <> m.y
+  JOIN d f ON f.lib = m.lib AND f.x = m.y AND f.y <> m.x AND f.y <> e.y WHERE m.x < m.y),
+keys AS (SELECT lib, family, least(array_to_string(parts, '-'), array_to_string(list_reverse(parts), '-')) AS key FROM shapes
+UNION SELECT e.lib, 'star3', e.cx || '-' || array_to_string(list_sort([e.bond || e.cy, f.bond || f.cy, g.bond || g.cy]), '-')
+  FROM d e JOIN d f ON f.lib = e.lib AND f.x = e.x AND e.y < f.y JOIN d g ON g.lib = e.lib AND g.x = e.x AND f.y < g.y)
+SELECT family, key, count(*) AS support FROM part JOIN keys ON p_partkey % {len(MOLECULES)} = lib GROUP BY family, key HAVING count(*) >= 4"""
+
+
 @query
 def smarts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns written and read again keep their form."""

@@ -94,6 +94,18 @@ def test_queries_against_sql(spark, name):
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want)
 
 
+def test_mining_of_all_shapes(spark):
+    """Each shape counts once a molecule; those in fewer than four are left out."""
+    held = tables.from_smiles(spark.createDataFrame(list(enumerate(["CCCO", "OCCC"] * 2 + ["CC(F)Cl"] * 4 + ["CC(F)Br"] * 3)), "mol_id long, smiles string"))
+    want = {("edge", "6A-S!-6A"): 11, ("edge", "6A-S!-8A"): 4, ("edge", "6A-S!-9A"): 7, ("edge", "17A-S!-6A"): 4}
+    want |= {("path3", "6A-S!-6A-S!-6A"): 4, ("path3", "6A-S!-6A-S!-8A"): 4, ("path3", "6A-S!-6A-S!-9A"): 7, ("path3", "17A-S!-6A-S!-6A"): 4, ("path3", "17A-S!-6A-S!-9A"): 4}
+    want |= {("path4", "6A-S!-6A-S!-6A-S!-8A"): 4, ("star3", "6A-S!17A-S!6A-S!9A"): 4}
+    assert {(r.family, r.key): r.support for r in screen.mine(screen.features(held)).collect()} == want
+    got = chem.QUERIES["mine_shapes"](spark, SF)
+    assert got.columns == ["family", "key", "support"] and {r.family for r in got.collect()} == {"edge", "path3", "path4", "star3"}
+    test_queries_against_sql(spark, "mine_shapes")
+
+
 def test_index_shards(spark, corpus, tmp_path):
     from graphsieve.sources import index_store
 
