@@ -2,13 +2,13 @@
 
 A HyperLogLog sketch of sites is kept for each line hash and merged by aggregation. Lines whose estimate is clearly
 under or over the threshold are decided by it; those within `margin` of it get an exact distinct count. Lines on `least` sites
-or more are removed wherever they stand if `most_share` is None; then only a text that has nothing else is left as it is, so that it
-does not become empty. With a number, documents of which they would make up more than `most_share` of the characters are
-left as they are; these keep their boilerplate, and no later step removes it. The SQL is that of a share of MOST_SHARE.
+or more are removed wherever they stand, whatever their share of a text. Only a text that has nothing else is left as it is, so that
+it does not become empty.
 
 Lines are split at line feeds and compared without spaces around them; empty ones are never removed.
 
-Defined cases: a null text stays null; an empty text, and one without boilerplate, stays as it is; a null source is no site; repeated
+Defined cases: a null text stays null; an empty text, and one without boilerplate, stays as it is; a very long text is one row like any
+other, of which only line hashes are shuffled before it is cut; a line on exactly `least` sites goes; a null source is no site; repeated
 rows are treated alike, whatever their doc_id, as all goes by text and source; columns of any other name are kept; an
 empty table gives no rows.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphsieve.llm.store import written
 
-LEAST_SITES, MARGIN, LOG_REGISTERS, MOST_SHARE = 10, 0.15, 12, 0.5
+LEAST_SITES, MARGIN, LOG_REGISTERS = 10, 0.15, 12
 
 
 def _key(line: Column) -> Column:
@@ -41,7 +41,7 @@ def boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST_SITES,
     return written(estimated.where(F.col("sites") > least * (1 + margin)).select("h").union(exact.select("h")), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST_SITES, margin: float = MARGIN, most_share: float | None = MOST_SHARE) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAST_SITES, margin: float = MARGIN) -> DataFrame:
     """docs with `text` cut; after their own columns n_lines, and n_removed lines. A column of docs with such a name is kept instead."""
     own = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"c{i}") for i, c in enumerate(own)])
@@ -53,11 +53,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", least: int = LEAS
     kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _key(x)))
     sized = met.withColumn("kept", F.when(F.col("bad").isNotNull(), kept))
 
-    def size(c: str) -> Column:
-        return F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.char_length(x))
-
-    small = F.exists("kept", lambda x: F.trim(x) != "") if most_share is None else (size("lines") - size("kept")) <= size("lines") * most_share
-    cut = sized.withColumn("cut", F.coalesce(small, F.lit(False)))
+    cut = sized.withColumn("cut", F.coalesce(F.exists("kept", lambda x: F.trim(x) != ""), F.lit(False)))
     cut = cut.withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.when(F.col("cut"), F.size("lines") - F.size("kept")).otherwise(0).cast("long"))
     text = F.when(F.col("cut"), F.array_join("kept", "\n")).otherwise(F.col("text"))
     names = [("text" if c == "text" else f"c{i}") for i, c in enumerate(own)]
@@ -69,8 +65,7 @@ WITH lines AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS line
 flagged AS (SELECT line FROM lines WHERE line <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES}),
 bad AS (SELECT coalesce(list(line), []) AS bad FROM flagged),
 parts AS (SELECT d.*, string_split(text, chr(10)) AS every, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, trim(x))) AS kept FROM documents d, bad),
-sized AS (SELECT *, list_sum(list_transform(every, lambda x: length(x))) AS n_every, list_sum(list_transform(kept, lambda x: length(x))) AS n_kept FROM parts),
-cut AS (SELECT *, coalesce(n_every, 0) - coalesce(n_kept, 0) <= {MOST_SHARE} * coalesce(n_every, 0) AS cut FROM sized)
+cut AS (SELECT *, coalesce(len(every) > len(kept) AND len(list_filter(kept, lambda x: trim(x) <> '')) > 0, false) AS cut FROM parts)
 SELECT doc_id, lang, source, n_chars, CASE WHEN cut THEN array_to_string(kept, chr(10)) ELSE text END AS text,
   CAST(len(every) AS BIGINT) AS n_lines, CAST(CASE WHEN cut THEN len(every) - len(kept) ELSE 0 END AS BIGINT) AS n_removed
 FROM cut

@@ -183,6 +183,9 @@ def test_lines(spark, awkward, empty):
     got = {r.doc_id: (r.text, r.n_removed) for r in lines.without_boilerplate(table).collect()}
     assert got[3] == (text.format(3).replace(" Cookie notice \n", ""), 1) and got[99] == ("Cookie notice", 0) and got[100] == (None, 0)
     assert lines.without_boilerplate(table, least=13).where("n_removed > 0").count() == 0
+    menu = "Home News Contact Imprint Privacy Cookies Login Register Help Terms of use"
+    table = spark.createDataFrame([(i, f"{menu}\nown {i}", f"s{i}") for i in range(30)], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.text, r.n_removed) for r in lines.without_boilerplate(table).collect()} == {(i, f"own {i}", 1) for i in range(30)}
 
 
 def _check_packing(spark, table, **options):
