@@ -10,7 +10,7 @@ revisits of it; smaller ones are all responses.
 
 Defined cases: a null html is an empty payload; a null url leaves the target header out; a null page_id counts as greater than any
 other and comes back as null; rows that repeat the smallest page_id of their payload are all responses; line breaks in a url
-are written as %0D and %0A; other columns are not looked at; an empty table gives an empty index.
+are written as %0D and %0A; a very long payload is one member, read and checked in one piece; other columns are not looked at; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from graphsieve.llm.store import new_path, small_batches, written
 
 LEAST_BYTES = 100
 FILE_BYTES = 256 << 20
-RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+RANGE_BYTES, GAP_BYTES = 4 << 20, 64 << 10
+#: Of one reading job; with more, each task reads more ranges in turn.
+MOST_TASKS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -149,10 +151,15 @@ def _reader(path: str, range_bytes: int, gap_bytes: int):
 
 
 def read(index: DataFrame, path: str, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
-    """The records that the given index rows name, in any order; a revisit has a null payload."""
+    """The records that the given index rows name, in any order; a revisit has a null payload.
+
+    There is a task for every range_bytes of records, however small their index rows are, but no more than there are ranges.
+    """
     small_batches(index.sparkSession, 256)
     rows = index.select("file", "offset", "length", F.floor(F.col("offset") / range_bytes).alias("part"))
-    return rows.repartition("file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(_reader(path, range_bytes, gap_bytes), RECORDS)
+    tasks = rows.groupBy("file", "part").agg(F.sum("length").alias("bytes")).agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    many = max(1, min(tasks[0], -(-(tasks[1] or 0) // range_bytes), MOST_TASKS))
+    return rows.repartition(many, "file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(_reader(path, range_bytes, gap_bytes), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
