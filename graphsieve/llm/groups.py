@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsieve.llm.store import written
-
+from graphsieve.llm.store import Scratch, written
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -44,16 +43,18 @@ def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from _forest(iter(pa.Table.from_batches(list(batches), _EDGES).combine_chunks().to_batches()))
 
 
-def _toward_least(edges: DataFrame, large: bool) -> DataFrame:
+def _toward_least(edges: DataFrame, large: bool, held: Scratch) -> DataFrame:
     """Large star: each vertex points its greater neighbours to its least one. Small star: its smaller neighbours and itself."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = edges.union(turned) if large else turned
+    # Stored before it is joined, so that Spark can split the partition of a vertex with very many neighbours in the join.
+    least = held.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     met = both.join(least, "a")
     if large:
         out = met.where("b > a").select(F.col("m").alias("a"), "b")
     else:
         out = met.where("b <> m").select(F.col("m").alias("a"), "b").union(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
-    return out.where("a <> b").distinct()
+    return held.written(out.where("a <> b").distinct(), "star")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -62,15 +63,17 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops, repeated and reversed edges do no harm; a null endpoint drops the edge. Vertices without edges have no row.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    now = written(edges.mapInArrow(_forest, "a long, b long").distinct(), "forest")
-    if now.count() <= SMALL:
-        now = written(now.coalesce(1).mapInArrow(_whole_forest, "a long, b long"), "forest")
-        return now.select(F.col("b").alias("v"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
-    state = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
-        now = written(_toward_least(_toward_least(now, True), False), "stars")
+    with Scratch(edges.sparkSession) as held:
+        now = held.written(edges.mapInArrow(_forest, "a long, b long").distinct(), "forest")
+        if now.count() <= SMALL:
+            now = now.coalesce(1).mapInArrow(_whole_forest, "a long, b long")
+        else:
+            state = None
+            while True:
+                seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+                if tuple(seen) == state:
+                    break
+                state = tuple(seen)
+                now = _toward_least(_toward_least(now, True, held), False, held)
+        now = written(now, "components")
     return now.select(F.col("b").alias("v"), F.col("a").alias("root")).union(now.select("a", "a").distinct())

@@ -10,10 +10,14 @@ links are confirmed on the full sets and joined by union-find. In a bucket whose
 finer signatures of all members of other groups are held against each other, block by block, and those pairs that agree in
 enough of PLACES places are confirmed on the full sets as well: the likeliest few first, then all that still lie apart. So a group of copies costs about one comparison a member,
 and no pair in a bucket is left out unless its signatures say that it is far below the threshold. With the default 36
-bands of 5 a pair of similarity 0.8 shares a bucket with a probability of 1 - 6e-7; its finer signatures agree in 0.8 of the places
-with a standard deviation of 0.0132 for texts of up to 500 shingles and 0.0177 at most, so that what is enough lies 3.5 deviations below.
+bands of 5 a pair of similarity 0.8 shares a bucket with a probability of 1 - 6e-7; what is enough lies DEVIATIONS standard deviations of
+a binomial share below the threshold (0.712 for 0.8), which a linked pair of one bucket stays under with a probability of 3e-7 at most.
 
-Defined cases: texts without words, and null texts, have the empty set, n_shingles 0, and are linked with nothing; a
+A bucket of n members, m of them outside its largest group, makes n * m / BLOCK rows twice, of about 800 bytes each, and n * m comparisons of
+PLACES bytes in tasks of BLOCK * BLOCK at most; where m is 0, as in a group of copies, it makes none.
+
+Defined cases: texts without words, and null texts, have the empty set, n_shingles 0, and are linked with nothing; a very long text is read whole, by itself, and its set is
+compared in one task; a similarity of just percent / 100 is a link; a
 text of fewer than `width` words has its word sequence as its one shingle; a null doc_id is linked with nothing, its
 component_id is null and it is kept; rows that repeat a doc_id count as one document whose set may be any of theirs for links, and each
 row returns its own n_shingles; other columns are not looked at; an empty table gives no rows.
@@ -30,13 +34,13 @@ from pyspark.sql import functions as F
 
 from graphsieve.llm import textblocks as tb
 from graphsieve.llm.groups import components
-from graphsieve.llm.store import small_batches, written
+from graphsieve.llm.store import Scratch, small_batches, written
 
 BANDS, ROWS = 36, 5
 #: Places of the finer signature, and members of a bucket that are compared at once.
 PLACES, BLOCK = 512, 1024
-#: Share of equal places from which a pair is worth confirming, for texts of up to SHORT shingles and for longer ones.
-SHORT, LIKELY_SHORT, LIKELY_LONG = 500, 0.752, 0.738
+#: How many standard deviations below the threshold a pair's share of equal places may lie and still be confirmed.
+DEVIATIONS = 5
 #: Pairs that a member is first confirmed with in each block; only what these leave apart is held against all likely ones.
 BEST = 4
 
@@ -136,7 +140,7 @@ def _places(width: int, bands: int, rows: int):
                 values, first = sets_of(block.column("text"), width)
                 hashes = band_hashes(superminhash(values, first, bands * rows), bands, rows)
                 fine = (tb.mix(superminhash(values, first, PLACES)) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(first)), pa.array([x.tobytes() for x in hashes], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], ["doc_id", "size", "bands", "places"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([x.tobytes() for x in hashes], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], ["doc_id", "bands", "places"])
 
     return run
 
@@ -163,9 +167,9 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, held: Scratch) -> DataFrame:
     """Those pairs (a, b) of doc_id whose sets have a Jaccard similarity of percent / 100 or more."""
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = held.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     text = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     return (
         pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -180,37 +184,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = written(docs.mapInArrow(_sketches(width, bands, rows), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "sketches")
+    sizes = written(docs.mapInArrow(_sketches(width, bands, rows), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "sketches")
+    with Scratch(spark) as held:
+        labels = _labels(docs, sizes, width, percent, bands, rows, held)
+    return (
+        sizes.select("doc_id", "n_shingles")
+        .join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    )
+
+
+def _labels(docs: DataFrame, sketch: DataFrame, width: int, percent: int, bands: int, rows: int, held: Scratch) -> DataFrame:
+    """(v, root) for every document that is linked with another."""
     known = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
 
     # Sums are stored before they are joined, so that Spark can split the partitions of hot keys in the join.
-    least = written(known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "least")
-    classes = written(known.select("doc_id", "key1", "key2").join(least, ["key1", "key2"]).select("doc_id", "rep"), "classes")
+    least = held.written(known.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "least")
+    classes = held.written(known.select("doc_id", "key1", "key2").join(least, ["key1", "key2"]).select("doc_id", "rep"), "classes")
     reps = known.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
 
     entries = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    met = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last"), "met")
-    buckets = written(entries.join(met, "bucket").select("bucket", "doc_id", "leader", "n"), "buckets")
+    met = held.written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last"), "met")
+    buckets = held.written(entries.join(met, "bucket").select("bucket", "doc_id", "leader", "n"), "buckets")
 
-    pairs = written(buckets.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    pairs = held.written(buckets.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     same = classes.where("rep < doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = written(confirmed(pairs, docs, width, percent).union(same), "edges")
+    edges = held.written(confirmed(pairs, docs, width, percent, held).union(same), "edges")
     labels = components(edges)
 
     for best in (BEST, None):
-        open_ = written(_open_buckets(buckets.where("n > 2").select("bucket", "doc_id"), labels), "open")
-        inside = written(open_.select("doc_id").distinct(), "inside")
-        places = docs.join(inside, "doc_id", "left_semi").mapInArrow(_places(width, bands, rows), "doc_id long, size long, bands binary, places binary")
-        likely = written(_likely_pairs(open_, places, bands, best), "likely")
+        open_ = held.written(_open_buckets(buckets.where("n > 2").select("bucket", "doc_id"), labels, held), "open")
+        inside = held.written(open_.select("doc_id").distinct(), "inside")
+        places = docs.join(inside, "doc_id", "left_semi").mapInArrow(_places(width, bands, rows), "doc_id long, bands binary, places binary")
+        likely = held.written(_likely_pairs(open_, places, bands, percent, best), "likely")
         if not likely.isEmpty():
-            edges = written(edges.union(confirmed(likely, docs, width, percent)), "edges")
+            edges = held.written(edges.union(confirmed(likely, docs, width, percent, held)), "edges")
             labels = components(edges)
-    return (
-        sketch.select("doc_id", "n_shingles")
-        .join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    return labels
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -231,16 +242,16 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, bands:
     return numbered.join(written(found.where("NOT kept").select(F.col("doc_id").alias("_row")), "gone"), "_row", "left_anti").select(docs.columns)
 
 
-def _open_buckets(entries: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_buckets(entries: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Entries (bucket, doc_id, root) of the buckets that lie in several groups, with the bucket's largest group as `main` and its
     number of members, n, and of members outside that group, minor."""
-    held = written(entries.join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "held")
+    held = scratch.written(entries.join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root")), "held")
     sizes = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
     several = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("largest"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    return held.join(written(several.select("bucket", F.col("largest.root").alias("main"), "n", (F.col("n") - F.col("largest.size")).alias("minor")), "several"), "bucket")
+    return held.join(scratch.written(several.select("bucket", F.col("largest.root").alias("main"), "n", (F.col("n") - F.col("largest.size")).alias("minor")), "several"), "bucket")
 
 
-def _likely_pairs(open_: DataFrame, places: DataFrame, bands: int, best: int | None) -> DataFrame:
+def _likely_pairs(open_: DataFrame, places: DataFrame, bands: int, percent: int, best: int | None) -> DataFrame:
     """Pairs (a, b) from other groups of a bucket whose signatures agree in enough places; with `best`, only so many of the likeliest for each member of a block.
 
     Members outside a bucket's largest group are held against all its members, block against block of about BLOCK members,
@@ -248,15 +259,18 @@ def _likely_pairs(open_: DataFrame, places: DataFrame, bands: int, best: int | N
     """
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1))
     rows = open_.join(places, "doc_id").withColumn("j", F.pmod(F.xxhash64("doc_id"), blocks("n"))).withColumn("k", F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks("minor")))
-    column = ["bucket", "k", "j", "doc_id", "root", "size", "bands", "places", "probe"]
+    column = ["bucket", "k", "j", "doc_id", "root", "bands", "places", "probe"]
     held = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks("minor") - 1))).withColumn("probe", F.lit(False))
     probes = rows.where("root <> main").withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1))).withColumn("probe", F.lit(True))
-    return held.select(column).union(probes.select(column)).groupBy("bucket", "k", "j").applyInArrow(_compare(bands, best), "a long, b long").distinct()
+    return held.select(column).union(probes.select(column)).groupBy("bucket", "k", "j").applyInArrow(_compare(bands, percent, best), "a long, b long").distinct()
+
 
+def _compare(bands: int, percent: int, best: int | None):
+    share = percent / 100
+    enough = PLACES * (share - DEVIATIONS * (share * (1 - share) / PLACES) ** 0.5)
 
-def _compare(bands: int, best: int | None):
     def run(table: pa.Table) -> pa.Table:
-        ids, roots, size = (table.column(c).to_numpy() for c in ("doc_id", "root", "size"))
+        ids, roots = (table.column(c).to_numpy() for c in ("doc_id", "root"))
         probe = table.column("probe").to_numpy(zero_copy_only=False)
         bucket = np.array(table.column("bucket")[0].as_py(), np.int64).view(np.uint64)
         places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8).reshape(-1, PLACES)
@@ -268,7 +282,7 @@ def _compare(bands: int, best: int | None):
             other = y[roots[y] != roots[i]]
             other = other[~(earlier[other] == earlier[i]).any(axis=1)]
             equal = (places[other] == places[i]).sum(axis=1)
-            near = np.flatnonzero(equal >= np.where(np.minimum(size[other], size[i]) <= SHORT, LIKELY_SHORT, LIKELY_LONG) * PLACES)
+            near = np.flatnonzero(equal >= enough)
             if best and len(near) > best:
                 near = near[np.argsort(-equal[near], kind="stable")[:best]]
             near = other[near]

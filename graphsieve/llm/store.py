@@ -10,26 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a fresh local folder."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, a fresh local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphsieve-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = "file://" + tempfile.mkdtemp(prefix="graphsieve-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    return held.get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path there that no other call gets; it goes when the driver's Python ends."""
     path = f"{shared_dir(spark).rstrip('/')}/graphsieve/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,6 +48,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables as `written` makes them that go at the end of a with block; what is returned from it must not read them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Few rows to an Arrow batch, as single texts can be long; this changes no result."""
+    """Few rows to an Arrow batch, as single texts can be long; this changes no result. It stays set in the session, as results are computed later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

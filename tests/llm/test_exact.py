@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphsieve.llm import fingerprints, licenses, lines, minhash, mixing, packing, pairwise, passages, queries, stats, trees, warc
+from graphsieve.llm import fingerprints, groups, licenses, lines, minhash, mixing, packing, pairwise, passages, queries, stats, trees, warc
 from graphsieve.llm.groups import components
 from tests.conftest import SF
 from tests.llm import oracles as o
@@ -63,7 +63,9 @@ def test_superminhash_estimates_and_stops(spark):
     assert (minhash.superminhash(a[:3], np.array([0, 3]), 180)[0] == s[2]).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [groups.SMALL, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(groups, "SMALL", small)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(None, 4)]
     parent = {}
@@ -81,8 +83,32 @@ def test_components(spark):
     assert rows(components(spark.createDataFrame(edges, "a long, b long").repartition(5)), "v", "root") == sorted(((v, find(v)) for v in parent), key=repr)
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    """A vertex with 100,000 neighbours, some of which go on to others, by shuffles only."""
+    monkeypatch.setattr(groups, "SMALL", 0)
+    edges = spark.range(100_000).select(F.lit(500_000).cast("long").alias("a"), F.col("id").alias("b")).union(spark.range(0, 100_000, 50).select("id", (F.col("id") + 1_000_000)))
+    r = components(edges.repartition(7)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("v"), F.max("root").alias("root")).first()
+    assert tuple(r) == (102_001, 102_001, 0)
+
+
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    """Buckets of several groups are compared in blocks of a few members each, and by shuffled contraction."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(groups, "SMALL", 0)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(120)]
+    given = []
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 14), replace=False):
+            words[at] = f"x{k}y{at}"
+        given.append((k, " ".join(words)))
+    found = minhash.near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(4), width=2)
+    assert rows(found, "doc_id", "component_id") == sorted(o.near_duplicates(given, 2).items(), key=repr)
+
+
 def test_warc(spark):
-    pages = [(1, "http://a", "x" * 200), (2, "http://b", "x" * 200), (3, None, None), (4, "u\r\nv", "short"), (5, "http://c", "short"), (None, "http://d", "x" * 200), (1, "http://a", "x" * 200), (6, "http://e", "é\r\n\r\n" * 60), (7, "", "")]
+    pages = [(1, "http://a", "x" * 200), (2, "http://b", "x" * 200), (3, None, None), (4, "u\r\nv", "short"), (5, "http://c", "short"), (None, "http://d", "x" * 200), (1, "http://a", "x" * 200), (6, "http://e", "é\r\n\r\n" * 60), (7, "", ""), (8, "http://f", "<p>long page</p>" * 300_000), (9, "http://g", "<p>long page</p>" * 300_000)]
     table = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, digest string")
     assert rows(warc.round_trip(table), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(o.warc_rows(pages), key=repr)
     assert warc.round_trip(table.where("false")).count() == 0
@@ -101,6 +127,7 @@ def test_warc_selection(spark):
     got = {r.page_id: (r.url, bytes(r.payload).decode()) for r in warc.read(wanted, path, range_bytes=8192, gap_bytes=100).collect() if r.payload is not None}
     html = {r.page_id: (r.url, r.html) for r in pages.collect()}
     assert got and all(html[k] == v for k, v in got.items())
+    assert warc.read(index, path, range_bytes=8192).rdd.getNumPartitions() > 4 > warc.read(wanted.limit(1), path).rdd.getNumPartitions()
 
 
 def test_licenses(docs, awkward, empty):
