@@ -1,23 +1,19 @@
 """Removal of repeated passages: sliding spans of consecutive sentences.
 
-A sentence ends after a word that ends in . ! or ?, at a line feed, and at the text's end; one of more than LONG words is
-also cut after words whose hash is divisible by 8. From each sentence a span runs over the next ones until it has 3 sentences
-and 15 words, or 2 and 25, or 40 words; where no span ends at a sentence, the shortest such span before it is taken too, so
-that the last sentences of a passage are covered. These ends depend on what stands around a passage: on line feeds, and at its first
-and last sentence on the words that the sentence has outside.
-
-So that any run of SHARED words holds a span that it has wherever it is copied to, spans are taken by words alone as well: those
-by the same rule over sentences that end at . ! or ? only; and in each run of SHARED words of a text in which no such span
-lies whole, after a sentence end of the run itself, the SEED words in turn with the least hash (winnowing). Texts are
-cut into sentences and, at the edges of seeds, into parts of them. So every SHARED words of a passage hold a span of WORDS or
-more that goes; at each edge as many as SHARED - WORDS words may stay, and fewer between spans.
-
-Spans are hashed over their words (A-Z lower-cased), spans with equal hashes are joined globally, and every sentence or part of
-one goes that lies in a span which is not the first of its kind, by doc_id and place.
-
-Defined cases: a null text stays null; a text whose words do not fill a span stays as it is; a null doc_id is neither compared
-nor cut; rows that repeat a doc_id count as one document, so that equal ones are cut alike; other columns are not looked at;
-an empty table gives no rows. White space around kept sentences stays.
+A sentence ends after a word that ends in . ! or ?, before closing quotes and brackets, and at the text's end. Every run of 3, 4 or 5
+consecutive sentences that has WORDS words or more is a span. Spans are hashed over their words (A-Z lower-cased), spans with equal hashes
+are joined globally, and every sentence goes that lies in a span which is not the first of its kind, by doc_id and place.
+
+Sentences of many words, and those that a passage shares with the words before and after it, make no common span. So that any run of
+SHARED words holds one wherever it is copied to, in each run of SHARED words in which no span lies whole, after a sentence end of
+the run itself, the WORDS words in turn with the least hash are a span too (winnowing). At the edges of these, sentences are cut
+into parts. So every SHARED words of a passage hold a span that goes, at each edge as many as SHARED - WORDS words may stay, and what
+is shorter than WORDS words is never removed: a few boilerplate lines or a licence notice make no passage.
+
+Defined cases: a null text stays null; a text whose words do not fill a span stays as it is; a very long text is read whole, as a block
+of its own; a null doc_id is neither compared nor cut; rows that repeat a doc_id count as one document, so that equal ones are cut
+alike; of spans in one document the first place counts; other columns are not looked at; an empty table gives no rows. White space
+around kept sentences stays.
 """
 
 from __future__ import annotations
@@ -32,9 +28,9 @@ from pyspark.sql import functions as F
 from graphsieve.llm import textblocks as tb
 from graphsieve.llm.store import small_batches, written
 
-SENTENCES, WORDS, FEWER, MORE, ENOUGH, LONG, CUT_EVERY = 3, 15, 2, 25, 40, 40, 8
-#: Words of a run that is never missed whole, and of a span inside it where its sentences give none.
-SHARED, SEED = 50, 26
+SENTENCES, WORDS = (3, 4, 5), 32
+#: Words of a run that is never missed whole.
+SHARED = 50
 _SLICE = 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,43 +38,33 @@ _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _CLOSERS = np.isin(np.arange(256), np.frombuffer(b"\"')]", np.uint8))
 
 
-def _last(first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For each sentence the last one of the span that begins with it; past the end where there are too few."""
-    at = np.arange(len(end))
-    reach = lambda w: np.searchsorted(end, first + w, "left")
-    return np.minimum(np.minimum(np.maximum(at + SENTENCES - 1, reach(WORDS)), np.maximum(at + FEWER - 1, reach(MORE))), reach(ENOUGH))
-
-
 class Sentences:
     """first, end: first word, and the word after the last one, of each sentence or part of one, over all rows; of_row: each row's first part."""
 
     def __init__(self, column: pa.Array):
         self.texts = texts = tb.texts_of(column)
         self.words = words = tb.words_of(texts)
-        self.hashes = hashes = tb.hash_words(texts.data, words, lower=True)
-        n = len(hashes)
+        self.hashes = tb.hash_words(texts.data, words, lower=True)
+        n = len(self.hashes)
         last = words.ends - 1
         last = np.where(_CLOSERS[texts.data[last]] & (last > words.starts), last - 1, last) if n else last
-        feeds = np.concatenate([[0], np.cumsum(texts.data == 0x0A, dtype=np.int64)])
-        final = np.zeros(n, bool)
-        final[words.first[1:][words.first[1:] > words.first[:-1]] - 1] = True
-        marked = _ENDS[texts.data[last]] if n else final
-        stop = marked | final
-        stop[:-1] |= feeds[words.starts[1:]] > feeds[words.ends[:-1]]
-        stop |= (np.repeat(*self._sizes(stop)) > LONG) & (hashes % np.uint64(CUT_EVERY) == 0)
-        self._whole = np.flatnonzero(stop) + 1
+        marked = _ENDS[texts.data[last]] if n else np.zeros(0, bool)
+        row_first, row_last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        row_first[words.first[:-1]] = row_last[words.first[1:]] = True
+        ends = np.flatnonzero(marked | row_last[1:]) + 1
         self._sum_words()
-        self._plain = self._plain_spans(np.flatnonzero(marked) + 1)
-        self.seeds = self._seeds(np.flatnonzero(marked) + 1)
-        self.end = np.unique(np.concatenate([self._whole, self.seeds[self.seeds > 0], self.seeds + SEED]))
+        begins, row_end = np.concatenate([[0], ends]), np.append(words.first, n)
+        found = [(begins[: max(len(ends) - k + 1, 0)], ends[k - 1 :]) for k in SENTENCES]
+        a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        fits = (b - a >= WORDS) & (b <= row_end[np.searchsorted(words.first, a, "right")])
+        a, b = a[fits], b[fits]
+        free = ~row_first[a] & marked[b - 1]
+        seeds = self._seeds(a[free], b[free])
+        self._begins, self._ends = np.concatenate([a, seeds]), np.concatenate([b, seeds + WORDS])
+        self.end = np.unique(np.concatenate([ends, seeds[~row_first[seeds]], seeds + WORDS]))
         self.first = np.concatenate([[0], self.end[:-1]]) if n else self.end
         self.of_row = np.searchsorted(self.first, words.first)
 
-    @staticmethod
-    def _sizes(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.diff(np.concatenate([[0], np.flatnonzero(stop) + 1]))
-        return size, size
-
     def _sum_words(self) -> None:
         n = len(self.hashes)
         powers = np.full(n, _BASE, np.uint64)
@@ -92,47 +78,23 @@ class Sentences:
     def _run_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return tb.mix((self._total[b] - self._total[a]) * self._inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(a) else np.zeros(0, np.uint64)
 
-    def _plain_spans(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word, and the word after the last one, of the spans between marked ends; the latter is past all words where a span does not fit in its row."""
-        far = len(self.hashes) + SHARED
-        first, end = ends, np.append(ends[1:], far)[: len(ends)]
-        last = _last(first, end)
-        to = np.where(last < len(end), end[np.minimum(last, len(end) - 1)], far) if len(end) else end
-        row = np.searchsorted(self.words.first, first, "right")
-        return first, np.where(to <= np.append(self.words.first, 0)[row], to, far)
-
-    def _seeds(self, ends: np.ndarray) -> np.ndarray:
-        """First words of the seeds."""
+    def _seeds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """First words of the spans by words alone; a, b: the spans of sentences that do not depend on what stands around them."""
         row_end = np.repeat(self.words.first[1:], self.words.counts)
         run = np.arange(len(row_end))
         run = run[run + SHARED <= row_end]
-        to = np.append(self._plain[1], len(self.hashes) + SHARED)
-        run = run[to[np.searchsorted(ends, run + 1, "left")] > run + SHARED]
-        at = np.arange(max(len(self.hashes) - SEED + 1, 0))
-        hashes, inside = self._run_hashes(at, at + SEED) if len(run) else at, np.arange(SHARED - SEED + 1)
-        found = [part + hashes[part[:, None] + inside].argmin(axis=1) for part in (run[a : a + _SLICE] for a in range(0, len(run), _SLICE))]
+        order = np.argsort(a)
+        soonest = np.minimum.accumulate(np.append(b[order], len(row_end) + SHARED)[::-1])[::-1]  # end of the spans that begin there or later
+        run = run[soonest[np.searchsorted(a[order], run + 1, "left")] > run + SHARED]
+        at = np.arange(max(len(self.hashes) - WORDS + 1, 0))
+        hashes, inside = self._run_hashes(at, at + WORDS) if len(run) else at, np.arange(SHARED - WORDS + 1)
+        found = [part + hashes[part[:, None] + inside].argmin(axis=1) for part in (run[i : i + _SLICE] for i in range(0, len(run), _SLICE))]
         return np.unique(np.concatenate(found)) if found else run
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last part of every span, in order."""
-        end = self._whole
-        n = len(end)
-        begin_of = np.concatenate([[0], end[:-1]]) if n else end
-        of_row = np.searchsorted(begin_of, self.words.first)
-        at = np.arange(n)
-        low, high = (np.repeat(x, np.diff(of_row)) for x in (of_row[:-1], of_row[1:]))
-        last = _last(begin_of, end)
-        fits = last < high
-        begin = lambda w: np.searchsorted(begin_of, end - w, "right") - 1
-        start = np.maximum(np.maximum(np.minimum(at - SENTENCES + 1, begin(WORDS)), np.minimum(at - FEWER + 1, begin(MORE))), begin(ENOUGH))
-        reached = np.zeros(n, bool)
-        reached[last[fits]] = True
-        back = ~reached & (start >= low)
-        plain = self._plain[1] <= len(self.hashes)
-        a = np.concatenate([begin_of[fits], begin_of[start[back]], self._plain[0][plain], self.seeds])
-        b = np.concatenate([end[last[fits]], end[back], self._plain[1][plain], self.seeds + SEED])
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        order = np.lexsort((self._ends, self._begins))
+        a, b = self._begins[order], self._ends[order]
         new = np.concatenate([[True], (np.diff(a) > 0) | (np.diff(b) > 0)])[: len(a)]
         return np.searchsorted(self.first, a[new]), np.searchsorted(self.end, b[new])
 

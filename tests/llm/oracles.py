@@ -2,9 +2,14 @@
 
 import hashlib
 import itertools
+import operator
 import re
 import zlib
 
+import pyarrow as pa
+
+from graphsieve.llm import textblocks as tb
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,6 +63,68 @@ def near_duplicates(rows, width, percent=80):
     return {i: find(i) for i in parent}
 
 
+def word_hashes(ws):
+    """As the operators hash words; of spans only the equality counts, of windows of words which one is least."""
+    column = pa.array(["\n".join(ws)])
+    texts = tb.texts_of(column)
+    return tb.hash_words(texts.data, tb.words_of(texts), lower=True).tolist()
+
+
+POWERS = [pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(64)]
+
+
+def window_hash(hashes):
+    x = (sum(map(operator.mul, hashes, POWERS)) + len(hashes) * 0xD6E8FEB86659FD93) % (1 << 64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor % (1 << 64)
+    return x
+
+
+def passage_spans(text, sentences=(3, 4, 5), least=32, shared=50):
+    """Spans (first word, word after the last one) and sentence ends of one text, word by word."""
+    w = words(text)
+    marked = [(x[:-1] if len(x) > 1 and x[-1] in "\"')]" else x)[-1] in ".!?" for x in w]
+    ends = [i + 1 for i in range(len(w)) if marked[i] or i + 1 == len(w)]
+    begins = [0, *ends][: len(ends)]
+    runs = {(a, ends[i + k - 1]) for k in sentences for i, a in enumerate(begins) if i + k <= len(ends) and ends[i + k - 1] - a >= least}
+    free = [(a, b) for a, b in runs if a > 0 and marked[b - 1]]
+    hashes = word_hashes(w)
+    memo, seeds = {}, set()
+    for p in range(len(w) - shared + 1):
+        if any(a > p and b <= p + shared for a, b in free):
+            continue
+        for i in range(p, p + shared - least + 1):
+            memo.setdefault(i, window_hash(hashes[i : i + least]))
+        seeds.add(min(range(p, p + shared - least + 1), key=lambda i: (memo[i], i)))
+    return sorted(runs | {(i, i + least) for i in seeds}), sorted({*ends, *seeds, *(i + least for i in seeds)} - {0})
+
+
+def without_passages(rows):
+    """{doc_id: (kept text, parts that go)} of rows (doc_id, text) with different ids."""
+    owner, found = {}, {}
+    for i, text in sorted(rows):
+        w = [x.translate(LOWER) for x in words(text)]
+        found[i] = passage_spans(text)
+        for a, b in found[i][0]:
+            owner.setdefault(tuple(w[a:b]), (i, a))
+    out = {}
+    for i, text in rows:
+        w = [x.translate(LOWER) for x in words(text)]
+        spans, ends = found[i]
+        gone = set()
+        for a, b in spans:
+            if owner[tuple(w[a:b])] != (i, a):
+                gone.update(range(a, b))
+        at = [m.start() for m in SPACED.finditer(text or "")] + [len(text or "")]
+        begins = [0, *ends][: len(ends)]
+        parts = [(a, b) for a, b in zip(begins, ends) if a in gone]
+        keep, last = "", 0
+        for a, b in parts:
+            keep, last = keep + (text or "")[last : at[a]], at[b] if b < len(w) else len(text)
+        out[i] = (None if text is None else keep + text[last:], len(parts))
+    return out
+
+
 def rule_counts(text):
     w = words(text)
     runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]

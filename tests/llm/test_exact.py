@@ -292,42 +292,29 @@ def test_passages(spark, docs, awkward, empty):
     assert passages.without_repeats(awkward).count() == awkward.count()
 
 
-def test_passages_by_brute_force(docs):
-    """Every sentence that goes lies in a run of words that stands elsewhere too; every span that stays is the first of its kind."""
-    import pyarrow as pa
-
-    out = passages.without_repeats(docs).collect()
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    owner, spans = {}, {}
-    for i in sorted(texts):
-        s = passages.Sentences(pa.array([texts[i]]))
-        first, last = s.spans()
-        w = o.words(texts[i].translate(o.LOWER))
-        ends = s.end.tolist()
-        begins = [0, *ends[:-1]]
-        spans[i] = sorted((a, b, tuple(w[begins[a] : ends[b]])) for a, b in zip(first.tolist(), last.tolist(), strict=True))
-        gone = set()
-        for a, b, run in spans[i]:
-            if run in owner:
-                gone.update(range(a, b + 1))
-            else:
-                owner[run] = i
-        assert next(r.n_removed for r in out if r.doc_id == i) == len(gone)
+def test_passages_by_brute_force(spark, docs):
+    """Against sentences, spans and windows that are taken word by word in plain Python, on the table and on made texts."""
+    rng = np.random.default_rng(8)
+    made = []
+    passage = [" ".join(f"p{k}w{i}" + ("." if rng.random() < 0.1 else "") for i in range(70)) for k in range(4)]
+    for i in range(40):
+        text = " ".join(f"v{x}" + (rng.choice([".", "!", '."', "\n", ""], p=[0.1, 0.02, 0.02, 0.06, 0.8])) for x in rng.integers(0, 500, int(rng.integers(0, 160))))
+        made.append((i, text + (" Junk junk" * 40 if i % 9 == 0 else "") + "\n" + (passage[i % 4].upper() if i % 3 else "") + (" " + passage[(i + 1) % 4] if i % 5 == 0 else "")))
+    for given in (made, [(r.doc_id, r.text) for r in docs.collect()]):
+        table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+        assert {r.doc_id: (r.text, r.n_removed) for r in passages.without_repeats(table).collect()} == o.without_passages(given)
+    assert sum(n > 0 for _, n in o.without_passages(made).values()) > 20
 
 
 def _spans_within(words, a, b):
     """Runs of words that the spans of a text take from its words a to b."""
-    import pyarrow as pa
-
-    s = passages.Sentences(pa.array(["", " ".join(words), "next row."]))
-    first, last = s.spans()
-    return {tuple(words[s.first[i] : s.end[j]]) for i, j in zip(first, last, strict=True) if s.first[i] >= a and s.end[j] <= b}
+    return {tuple(words[i:j]) for i, j in o.passage_spans(" ".join(words))[0] if i >= a and j <= b}
 
 
 def test_any_shared_run_of_50_words_holds_a_common_span(spark):
     rng = np.random.default_rng(4)
     made = lambda n, ends: [f"w{x}" + ("." if e else "") for x, e in zip(rng.integers(0, 1000, n), rng.random(n) < ends, strict=True)]
-    for k in range(600):
+    for k in range(200):
         run = made(50, [0, 0.02, 0.05, 0.1, 0.3][k % 5])
         around = [(made(a, 0.05), made(b, 0.05)) for a, b in rng.integers(0, 60, (2, 2))]
         one, two = (_spans_within(before + run + after, len(before), len(before) + 50) for before, after in around)
@@ -338,7 +325,14 @@ def test_any_shared_run_of_50_words_holds_a_common_span(spark):
         table = spark.createDataFrame([(1, "Full stop. " + passage + " first end"), (2, " ".join(f"x{i}" for i in range(20)) + " " + passage + " other stop")], "doc_id long, text string")
         got = {r.doc_id: r for r in passages.without_repeats(table).collect()}
         assert got[1].n_removed == 0 and got[2].n_removed > 0 and got[2].text.startswith("x0 ") and got[2].text.endswith("other stop")
-        assert len(got[2].text.split()) <= 22 + a + b - 26
+        assert len(got[2].text.split()) <= 22 + a + b - 32
+
+
+def test_short_shared_lines_stay(spark):
+    """A menu, a notice and a sentence or two that documents share are no passage."""
+    notice = "Home News Contact Imprint.\nWe use cookies to make this site work for you. Learn more.\nReleased under the MIT License."
+    table = spark.createDataFrame([(i, f"{notice}\nOwn text of number {i} with words{i} of its own{i}.") for i in range(5)], "doc_id long, text string")
+    assert passages.without_repeats(table).where("n_removed > 0").count() == 0
 
 
 def test_rule_counts(spark, docs, awkward, empty):
