@@ -1,13 +1,15 @@
 """Licence scan by a positional index of rare words.
 
-Licence notices are kept as word sequences. The inverse document frequency of their words is counted over all documents; each
-notice is indexed by its rarest words, with their places. An occurrence of such a word in a text proposes where a notice
-would begin; proposals on which several rare words agree are verified: every key phrase of the notice must stand in the
-window, and enough of the notice's words. Next to these labels the scan reports exact places of base phrases.
+The texts of usual licences, their headers and the sentences that name them are kept as word sequences (notices.py). The
+inverse document frequency of their words is counted over all documents; each notice is indexed by its rarest words, with their
+places, ANCHORS of them and one more for every SPACING words. An occurrence in a text of such a word proposes where a notice
+would begin; proposals on which several rare words agree, but for SLACK places, are verified: every key phrase of the notice
+must stand in the window, and LEAST of the notice's words. Next to these labels the scan reports exact places of base phrases.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters.
 
-Defined cases: a null or empty text has no words, no places, empty labels and score 0; a null doc_id stays null; repeated
+Defined cases: a null or empty text has no words, no places, empty labels and score 0; a very long text is read whole, as a block
+of its own; of words of equal frequency the alphabetically first is the rarer one; a null doc_id stays null; repeated
 rows get equal results; other columns are not looked at; an empty table gives no rows. The score is 1 where a base phrase
 stands, else the greatest share of words found of an accepted notice, else 0.
 """
@@ -15,6 +17,7 @@ stands, else the greatest share of words found of an accepted notice, else 0.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,26 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphsieve.llm import notices
 from graphsieve.llm import textblocks as tb
 from graphsieve.llm.store import small_batches
 
 #: Base phrases with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Notices as (label, words, key phrases).
-NOTICES = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license", "version 2")),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license", "2 0")),
-)
+ANCHORS, SPACING, AGREE, SLACK, LEAST = 4, 20, 2, 2, 0.7
 
-ANCHORS, AGREE, SLACK, LEAST = 4, 2, 2, 0.7
+#: Notices as (label, words, key phrases).
+NOTICES = tuple((label, re.findall("[a-z0-9]+", text.lower()), tuple(tuple(k.split()) for k in keys)) for label, text, keys in (*notices.NAMED, *notices.FULL))
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -52,7 +46,7 @@ def _hash(words: list[str]) -> np.ndarray:
     return tb.hash_words(texts.data, found)
 
 
-VOCABULARY = sorted({w for phrase, _ in BASE for w in phrase.split()} | {w for _, notice, _ in NOTICES for w in notice.split()})
+VOCABULARY = sorted({w for phrase, _ in BASE for w in phrase.split()} | {w for _, notice, _ in NOTICES for w in notice})
 
 
 @dataclass
@@ -107,10 +101,10 @@ class Scanner:
     def __init__(self, frequency: dict[str, int], documents: int):
         self.lexicon = Lexicon.of(VOCABULARY)
         idf = {w: math.log((documents + 1) / (frequency[w] + 1)) for w in VOCABULARY}
-        self.notices = [(label, words.split(), [k.split() for k in keys]) for label, words, keys in NOTICES]
+        self.notices = NOTICES
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, words, _) in enumerate(self.notices):
-            for w in sorted(set(words), key=lambda w: (-idf[w], w))[:ANCHORS]:
+            for w in sorted(set(words), key=lambda w: (-idf[w], w))[: ANCHORS + len(words) // SPACING]:
                 self.postings[w] += [(i, q) for q, x in enumerate(words) if x == w]
         self.anchor = np.array([w in self.postings for w in VOCABULARY])
         self.base = [(phrase.split(), label, _hash(phrase.split())) for phrase, label in BASE]
@@ -129,20 +123,24 @@ class Scanner:
         return out
 
     def notices_in(self, text: list[str]) -> dict[str, float]:
-        """Labels of accepted notices with their best share of words found."""
+        """Labels of accepted notices with their best share of words found; of notices that begin at one place, the one with most words found counts."""
         votes: dict[tuple[int, int], set[str]] = defaultdict(set)
         for p, word in enumerate(text):
             for notice, q in self.postings.get(word, ()):
                 votes[notice, p - q].add(word)
-        out: dict[str, float] = {}
+        fits: list[tuple[int, int, str, float]] = []
         for notice, start in votes:
             label, words, keys = self.notices[notice]
             agreed = set().union(*(votes.get((notice, start + d), set()) for d in range(-SLACK, SLACK + 1)))
             if len(agreed) < AGREE:
                 continue
             window = text[max(0, start - SLACK) : start + len(words) + SLACK]
-            share = sum((Counter(words) & Counter(window)).values()) / len(words)
-            if share >= LEAST and all(any(window[i : i + len(k)] == k for i in range(len(window) - len(k) + 1)) for k in keys):
+            found = sum((Counter(words) & Counter(window)).values())
+            if found >= LEAST * len(words) and all(any(tuple(window[i : i + len(k)]) == k for i in range(len(window) - len(k) + 1)) for k in keys):
+                fits.append((start, found, label, found / len(words)))
+        out: dict[str, float] = {}
+        for start, found, label, share in fits:
+            if not any(more > found and abs(at - start) <= SLACK for at, more, _, _ in fits):
                 out[label] = max(out.get(label, 0.0), share)
         return out
 
