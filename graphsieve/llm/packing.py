@@ -1,14 +1,17 @@
 """Cost-balanced packing of tokenized documents into training sequences.
 
-A piece of L tokens is estimated to cost `linear * L + quadratic * L * L`. Within a window of documents, pieces go in
-descending cost to the open sequence of least cost that still has room for the whole piece; when none has, the piece is
-cut at the end of the roomiest one. Windows are bounded stretches of an input partition, so nothing is shuffled or
-collected; what does not fill a sequence moves on to the next window, and at the end of the partition it fills
-sequences of powers of two, which need no padding.
+A piece of L tokens is estimated to cost `linear * L + quadratic * L * L`. Documents are cut into slices of the capacity and a rest. Within
+a window of documents, slices and rests go in descending cost to the sequence of least cost that still has room for the whole
+piece; when none has, the piece is cut at the end of the roomiest one. Windows are bounded stretches of an input partition, so no
+document is shuffled or collected. What does not fill a sequence moves on to the next window, and at the end of a partition
+to a second pass over these tails, fewer than `capacity` tokens a partition, which are packed in the same way by few tasks, and by
+fewer again until one is left. So all sequences together need less padding than one sequence holds.
+
+Pieces are stored as the first pass makes them, so that the second one sees what was packed.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is kept as null; rows that repeat a doc_id are
-packed one by one; other columns are not looked at; an empty table gives no rows. A text longer than a window is a window
-of its own.
+packed one by one; of equal costs the earlier row goes first, of equal sequences the first one gets it; other columns are not
+looked at; an empty table gives no rows. A text longer than a window is a window of its own.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphsieve.llm.store import small_batches
+from graphsieve.llm.store import small_batches, written
 
 CAPACITY = 2048
 WINDOW_TOKENS = 1_000_000
+#: Of tails that one task of the second pass gets, 4 bytes each.
+TAIL_TOKENS = 8_000_000
 END_ID = 1
 CACHED_WORDS = 400_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -98,12 +103,13 @@ def assign(lengths: list[int], capacities: list[int]) -> tuple[list[tuple[int, i
     room = np.array(capacities, np.int64)
     cost = np.zeros(len(room))
     used = np.zeros(len(room), np.int64)
-    out, left = [], []
+    out, left, empty = [], [], 0
     for doc in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
         start, size = 0, lengths[doc]
         while size:
-            fits = room >= size
-            if fits.any():
+            if empty < len(room) and not used[empty] and room[empty] >= size:
+                at, take = empty, size  # a sequence without tokens costs least
+            elif (fits := room >= size).any():
                 at, take = int(np.argmin(np.where(fits, cost, np.inf))), size
             elif len(room) and room.max() > 0:
                 at = int(np.argmax(room))
@@ -117,56 +123,80 @@ def assign(lengths: list[int], capacities: list[int]) -> tuple[list[tuple[int, i
             cost[at] += LINEAR * take + QUADRATIC * take * take
             start += take
             size -= take
+            while empty < len(room) and used[empty]:
+                empty += 1
     return out, left
 
 
+class _Packer:
+    """Packs windows of pieces (doc_id, start, ids, tokens of the document) and carries on what does not fill a sequence."""
+
+    def __init__(self, capacity: int, base: int):
+        self.capacity, self.base, self.made = capacity, base, 0
+        self.held: list[tuple] = []
+        self.total = 0
+
+    def add(self, doc_id: int | None, start: int, ids: bytes, tokens: int) -> None:
+        step = 4 * self.capacity
+        self.held += [(doc_id, start + a // 4, ids[a : a + step], tokens) for a in range(0, len(ids), step)]
+        self.total += len(ids) // 4
+
+    def flush(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        many = -(-self.total // self.capacity) if last else self.total // self.capacity
+        pieces, left = assign([len(h[2]) // 4 for h in self.held], [self.capacity] * many)
+        rows = []
+        for piece, a, size, at, offset in pieces:
+            doc_id, start, ids, tokens = self.held[piece]
+            rows.append((doc_id, start + a, size, ids[4 * a : 4 * (a + size)], tokens, self.base + self.made + at, offset))
+        self.made += many
+        self.held = [(self.held[p][0], self.held[p][1] + a, self.held[p][2][4 * a : 4 * (a + size)], self.held[p][3]) for p, a, size in left]
+        self.total = sum(len(h[2]) // 4 for h in self.held)
+        yield from _batches(rows)
+
+    def tail(self) -> Iterator[pa.RecordBatch]:
+        """What is left, without a sequence."""
+        yield from _batches([(doc_id, start, len(ids) // 4, ids, tokens, None, None) for doc_id, start, ids, tokens in self.held])
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+
+
+def _base(round_: int) -> int:
+    """First sequence_id of the running task; no two tasks of all rounds share any of 2^33."""
+    from pyspark import TaskContext
+
+    return round_ << 57 | TaskContext.get().partitionId() << 33
+
+
 def _pack(file: str, capacity: int, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder = encoder_of(file)
-        base = TaskContext.get().partitionId() << 33
-        made = 0
-        held: list[tuple] = []  # (doc_id, start, ids, tokens of the document)
-        total = 0
-
-        def flush(last: bool) -> pa.RecordBatch | None:
-            nonlocal made, held, total
-            rows: list[tuple] = []
-            rests: list[tuple] = []
-            for doc_id, start, ids, tokens in held:
-                size = len(ids) // 4
-                whole = size - size % capacity
-                for a in range(0, whole, capacity):
-                    rows.append((doc_id, start + a, capacity, ids[4 * a : 4 * (a + capacity)], tokens, base + made, 0))
-                    made += 1
-                if size > whole:
-                    rests.append((doc_id, start + whole, ids[4 * whole :], tokens))
-            total = sum(len(r[2]) // 4 for r in rests)
-            sizes = [capacity] * (total // capacity)
-            if last:
-                rest = total % capacity
-                sizes += [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
-            pieces, left = assign([len(r[2]) // 4 for r in rests], sizes)
-            for doc, a, size, at, offset in pieces:
-                doc_id, start, ids, tokens = rests[doc]
-                rows.append((doc_id, start + a, size, ids[4 * a : 4 * (a + size)], tokens, base + made + at, offset))
-            made += len(sizes)
-            held = [(rests[d][0], rests[d][1] + a, rests[d][2][4 * a : 4 * (a + size)], rests[d][3]) for d, a, size in left]
-            total = sum(len(h[2]) // 4 for h in held)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW) if rows else None
-
+        encoder, packer = encoder_of(file), _Packer(capacity, _base(0))
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encoder.encode(text.as_py()) + end
-                held.append((doc_id, 0, ids, len(ids) // 4))
-                total += len(ids) // 4
-                if total >= window and (out := flush(False)) is not None:
-                    yield out
-        if (out := flush(True)) is not None:
-            yield out
+                packer.add(doc_id, 0, ids, len(ids) // 4)
+                if packer.total >= window:
+                    yield from packer.flush()
+        yield from packer.flush()
+        yield from packer.tail()
+
+    return run
+
+
+def _pack_tails(capacity: int, window: int, round_: int, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(capacity, _base(round_))
+        for batch in batches:
+            for piece in batch.to_pylist():
+                packer.add(piece["doc_id"], piece["start"], piece["ids"], piece["doc_tokens"])
+                if packer.total >= window:
+                    yield from packer.flush()
+        yield from packer.flush(last)
+        yield from packer.tail()
 
     return run
 
@@ -174,9 +204,17 @@ def _pack(file: str, capacity: int, window: int, end_id: int):
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, window: int = WINDOW_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of a document, with its ids; (sequence_id, offset) places it.
 
-    tokenizer_file must be at that path on every executor. capacity must be a power of two.
+    tokenizer_file must be at that path on every executor.
     """
-    if capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer_file, capacity, window, end_id), SCHEMA)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pieces = written(text.mapInArrow(_pack(tokenizer_file, capacity, window, end_id), SCHEMA), "pieces")
+    done = pieces.where("sequence_id IS NOT NULL")
+    for round_ in range(1, 30):
+        tails = pieces.where("sequence_id IS NULL")
+        many = -(-(tails.agg(F.sum("length")).first()[0] or 0) // TAIL_TOKENS)
+        if not many:
+            break
+        pieces = written(tails.repartition(many).mapInArrow(_pack_tails(capacity, window, round_, many == 1), SCHEMA), "tails")
+        done = done.union(pieces.where("sequence_id IS NOT NULL"))
+    return done
