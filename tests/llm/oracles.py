@@ -150,6 +150,39 @@ def base_licenses(text):
     return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def licence_labels(rows, notices, anchors, spacing, agree, slack, least):
+    """Of each (doc_id, text) its labels and score by holding every notice against every place."""
+    texts = [(i, ALNUM.findall((t or "").translate(LOWER))) for i, t in rows]
+    known = {w for _, words_, _ in notices for w in words_} | {w for p in ("under the mit license", "apache license version 2", "cc by nc") for w in p.split()}
+    holding = {w: 0 for w in known}
+    for _, text in texts:
+        for w in known & set(text):
+            holding[w] += 1
+    out = []
+    for doc_id, text in texts:
+        fits = []
+        for label, own, keys in notices:
+            rare = sorted(set(own), key=lambda w: (holding[w], w))[: anchors + len(own) // spacing]
+            if len(set(rare) & set(text)) < agree:
+                continue
+            places = [(q, w) for q, w in enumerate(own) if w in rare]
+            for start in range(-len(own), len(text)):
+                at = lambda d: {w for q, w in places if 0 <= start + d + q < len(text) and text[start + d + q] == w}  # noqa: E731, B023
+                if not at(0) or len(set().union(*map(at, range(-slack, slack + 1)))) < agree:
+                    continue
+                window = text[max(0, start - slack) : max(0, start + len(own) + slack)]
+                found = sum(min(own.count(w), window.count(w)) for w in set(own))
+                if found >= least * len(own) and all(" ".join(k) in " ".join(window) and any(tuple(window[i : i + len(k)]) == k for i in range(len(window))) for k in keys):
+                    fits.append((start, found, label, found / len(own)))
+        best = {}
+        for start, found, label, share in fits:
+            if all(more <= found or abs(other - start) > slack for other, more, _, _ in fits):
+                best[label] = max(best.get(label, 0.0), share)
+        base = set(filter(None, base_licenses(" ".join(text))[4].split(",")))
+        out.append((doc_id, ",".join(sorted(base | set(best))), 1.0 if base else max(best.values(), default=0.0)))
+    return out
+
+
 def warc_rows(pages):
     groups = {}
     for page_id, _, html in pages:

@@ -2,13 +2,15 @@
 
 import collections
 import hashlib
+import math
+import string
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphsieve.llm import fingerprints, groups, licenses, lines, minhash, mixing, packing, pairwise, passages, queries, stats, trees, warc
+from graphsieve.llm import fingerprints, groups, licenses, lines, minhash, mixing, notices, packing, pairwise, passages, queries, stats, trees, warc
 from graphsieve.llm.groups import components
 from tests.conftest import SF
 from tests.llm import oracles as o
@@ -146,39 +148,81 @@ def test_notices(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(table).collect()} == {1: "gpl-3", 2: "", 3: "mit"}
 
 
-def _sketch(text, spark_hash):
-    return sorted(set(spark_hash(text)))[: fingerprints.K]
+def test_notices_by_brute_force(spark, docs, awkward):
+    """Whole licences, with words left out, changed and put in, between other text, and the tables."""
+    rng = np.random.default_rng(9)
+    filler = [r.text for r in docs.limit(30).collect()]
+    given = []
+    for n, (_, text, _) in enumerate((*notices.NAMED, *notices.FULL) * 3):
+        words = text.split()
+        for _ in range(int(rng.integers(0, 3)) * (n % 3)):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + int(rng.integers(0, 2))] = ["Copyright", "Someone"][: int(rng.integers(0, 3))]
+        given.append((n, f"{filler[n % 30][:300]}\n{' '.join(words)}\n{filler[(n + 1) % 30][:200]}"))
+    for table in (spark.createDataFrame(given, "doc_id long, text string"), docs, awkward):
+        want = o.licence_labels([(r.doc_id, r.text) for r in table.collect()], licenses.NOTICES, licenses.ANCHORS, licenses.SPACING, licenses.AGREE, licenses.SLACK, licenses.LEAST)
+        assert rows(licenses.scan(table), "doc_id", "labels", "score") == sorted(want, key=repr)
+    clean = o.licence_labels([(i, text) for i, (_, text, _) in enumerate((*notices.NAMED, *notices.FULL))], licenses.NOTICES, 4, 20, 2, 2, 0.7)
+    assert all(label in found.split(",") for (label, _, _), (_, found, _) in zip((*notices.NAMED, *notices.FULL), clean, strict=True))
+
+
+def _sketches(spark, texts):
+    """Of each text the least hashes of its distinct shingles, which are taken in Python and hashed one by one."""
+    texts = sorted(texts)
+    flat = [(n, list(run)) for n, t in enumerate(texts) for run in o.shingles(t.lower(), fingerprints.WIDTH)]
+    one = F.transform("w", lambda x: F.xxhash64(x))
+    of_run = F.when(F.size("w") == fingerprints.WIDTH, F.xxhash64(*[F.get(one, i) for i in range(fingerprints.WIDTH)])).otherwise(F.xxhash64(one))
+    out = collections.defaultdict(set)
+    for r in spark.createDataFrame(flat, "n long, w array<string>").select("n", of_run.alias("h")).collect():
+        out[r.n].add(r.h)
+    return {t: sorted(out[n])[: fingerprints.K] for n, t in enumerate(texts)}
+
+
+def _alike(a, b):
+    """Resemblance and containment of a in b by two sketches, and a's number of shingles, as estimated."""
+    k = fingerprints.K
+    count = lambda s: len(s) if len(s) < k else (k - 1) / ((s[-1] + 2.0**63) / 2.0**64)
+    u = sorted({*a, *b})[:k]
+    if not u:
+        return 1.0, 1.0, 0.0
+    share = len(set(u) & set(a) & set(b)) / len(u)
+    return share, min(1.0, share * count(u) / max(count(a), 1)), float(count(a))
 
 
 def test_fingerprints(spark, docs, awkward, empty):
-    for table in (docs, awkward):
-        given = sorted({(r.doc_id, r.text or "") for r in table.collect() if r.doc_id is not None})
+    for table, ranges in ((docs, 8192), (docs, 7), (awkward, 2), (awkward.where("doc_id IS NULL"), 2), (docs.limit(1), 1)):
+        given = [(r.doc_id, r.text or "") for r in table.collect()]
         least = {}
-        for i, t in given:
+        for i, t in sorted((i, t) for i, t in given if i is not None):
             least.setdefault(i, t)
         ring = sorted(least, reverse=True)
-        after = {i: ring[(k + 1) % len(ring)] for k, i in enumerate(ring)} | {None: ring[0]}
+        after = {i: least[ring[(k + 1) % len(ring)]] for k, i in enumerate(ring)} | {None: least[ring[0]] if ring else ""}
+        edited = {(i, t): t[: len(t) - len(t) // 2] + after[i][: len(t) // 2] for i, t in given}
+        sketch = _sketches(spark, {*edited.values(), *after.values(), *(t for _, t in given)})
+        text = lambda s: "".join(f"{h + (1 << 63):016X}" for h in s)
         want = []
-        for r in table.collect():
-            t, nxt = r.text or "", least[after[r.doc_id]]
-            edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-            want.append((r.doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest()))
-        got = fingerprints.with_edits(table)
-        assert rows(got, "doc_id", "n_chars", "edited_sha256") == sorted(want, key=repr)
-        texts = {(r.doc_id, r.text or "") for r in table.collect()}
-        by_text = collections.defaultdict(set)
-        exact = {i: t for i, t in texts}
-        for r in got.collect():
-            by_text[exact[r.doc_id]].add(r.fingerprint) if r.doc_id is not None else None
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-            if r.doc_id is not None:
-                a, b = (o.shingles(t.lower(), 5) for t in (exact[r.doc_id], least[after[r.doc_id]]))
-                true = len(a & b) / len(a | b) if a or b else 1.0
-                assert abs(r.near_next - true) < (0.2 if len(a | b) > fingerprints.K else 1e-9)
-        assert all(len(v) == 1 for v in by_text.values())
+        for i, t in given:
+            own, other = sketch[t], sketch[edited[i, t]]
+            to_edited, to_next = _alike(own, other), _alike(own, sketch[after[i]])
+            want.append((i, len(t), hashlib.sha256(edited[i, t].encode()).hexdigest(), text(own), text(other), to_edited[0], to_next[0], to_edited[1], to_next[1], to_edited[2]))
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_in_edited", "contained_in_next", "shingles"]
+        got = rows(fingerprints.with_edits(table, rows=ranges), *names)
+        assert [r[:5] for r in got] == [r[:5] for r in sorted(want, key=repr)]
+        assert np.allclose([r[5:] for r in got], [r[5:] for r in sorted(want, key=repr)])
     assert fingerprints.with_edits(empty).count() == 0
 
 
+def test_fingerprints_of_whole_sets(docs):
+    """Estimates against the shingle sets themselves."""
+    given = {r.doc_id: o.shingles((r.text or "").lower(), fingerprints.WIDTH) for r in docs.collect()}
+    ring = sorted(given, reverse=True)
+    for r in fingerprints.with_edits(docs).collect():
+        a, b = given[r.doc_id], given[ring[(ring.index(r.doc_id) + 1) % len(ring)]]
+        true = len(a & b) / len(a | b) if a or b else 1.0
+        assert abs(r.near_next - true) < (0.2 if len(a | b) > fingerprints.K else 1e-9)
+        assert abs(r.shingles - len(a)) <= (0.4 * len(a) if len(a) >= fingerprints.K else 0)
+
+
 def test_fingerprints_merge(spark):
     a, b = " ".join(f"a{i}" for i in range(3000)), " ".join(f"a{i}" for i in range(1500, 4500))
     table = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"))
@@ -202,6 +246,30 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_by_brute_force(spark):
+    """Copies by the inverse Poisson distribution of the hash, for null and repeated ids, null sources and sources without a weight."""
+    given = [(i, f"t{i}", "ab"[i % 2]) for i in range(300)] + [(4, "other", "a"), (4, "other", "a"), (None, "text", "a"), (None, None, "a"), (400, "x", None), (401, "y", "c")]
+    table = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(3)
+    n = collections.Counter(s or "" for _, _, s in given)
+    weight = {"a": 3.0, "b": 1.0, "": 1.0}
+    want = collections.Counter()
+    for i, t, s in given:
+        rate = weight.get(s or "", 0.0) / sum(weight.values()) * 900 / n[s or ""]
+        key = str(i) if i is not None else "text " + hashlib.md5((t or "").encode()).hexdigest()
+        u = int(hashlib.md5(f"{mixing.SEED}:{key}".encode()).hexdigest()[:13], 16) / 2**52
+        copies, below = 0, math.exp(-rate)
+        while rate and below <= u:
+            copies += 1
+            below += math.exp(copies * math.log(rate) - rate - math.lgamma(copies + 1))
+        for c in range(1, copies + 1):
+            want[i, t, s, c, copies] += 1
+    got = mixing.mix(table, weight, total=900)
+    assert collections.Counter(map(tuple, got.select("doc_id", "text", "source", "copy", "copies").collect())) == want
+    assert {i for i, *_ in want} >= {4, None} and 401 not in {i for i, *_ in want}
+    order = [r.shuffle_key for r in mixing.mix(table, weight, total=900).coalesce(1).collect()]
+    assert len(set(order)) > 0.9 * len(order)
+
+
 def test_lines(spark, awkward, empty):
     assert rows(lines.without_boilerplate(awkward), *awkward.columns) == rows(awkward, *awkward.columns)
     assert lines.without_boilerplate(empty).count() == 0
@@ -243,17 +311,20 @@ def _check_packing(spark, table, **options):
         else:
             assert sum(p["length"] for p in pieces) == tokens * same
     assert all(found[k] == n for k, n in whole.items() if n == 1 and sum(m for (i, ids), m in whole.items() if i == k[0] and len(ids) == len(k[1])) == 1)
+    ends = []
     for pieces in sequences.values():
         end = 0
         for p in sorted(pieces, key=lambda p: p["offset"]):
             assert p["offset"] == end
             end += p["length"]
-        assert end <= 2048 and end & (end - 1) == 0
+        ends.append(end)
+    assert max(ends) <= 2048 and sum(2048 - end for end in ends) < 2048
 
 
 def test_packing(spark, docs, awkward, empty):
     _check_packing(spark, docs.coalesce(1))
     _check_packing(spark, awkward, window=3000)
+    _check_packing(spark, docs.repartition(40), window=20_000)
     assert packing.pack(empty, queries.TOKENIZER).count() == 0
 
 
@@ -277,6 +348,34 @@ def test_assign_balances_cost():
     assert packing.assign([5, 3], []) == ([], [(0, 0, 5), (1, 0, 3)])
 
 
+def test_assign_by_brute_force():
+    """The sequence of least cost with room, else the roomiest, for every piece in descending order."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        lengths = [int(x) for x in rng.integers(1, 100, rng.integers(1, 40))] + [100] * int(rng.integers(0, 5))
+        many = sum(lengths) // 100
+        room, cost, want, left = [100] * many, [0.0] * many, [], []
+        for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+            start, size = 0, lengths[d]
+            while size:
+                fits = [k for k in range(many) if room[k] >= size]
+                at = min(fits, key=lambda k: (cost[k], k)) if fits else max(range(many), key=lambda k: (room[k], -k), default=None)
+                if at is None or not room[at]:
+                    left.append((d, start, size))
+                    break
+                take = min(size, room[at])
+                want.append((d, start, take, at, 100 - room[at]))
+                room[at], cost[at] = room[at] - take, cost[at] + take + take * take / 2048
+                start, size = start + take, size - take
+        assert packing.assign(lengths, [100] * many) == (want, left)
+
+
+def test_packing_tails_in_rounds(spark, docs, monkeypatch):
+    """Tails that are too many for one task are packed by several, and theirs by one."""
+    monkeypatch.setattr(packing, "TAIL_TOKENS", 6000)
+    _check_packing(spark, docs.repartition(24))
+
+
 def test_passages(spark, docs, awkward, empty):
     got = {r.doc_id: r for r in passages.without_repeats(awkward.where("doc_id IS NOT NULL")).collect()}
     assert got[8].text.count("Copied sentence") == 0 and got[8].n_removed == 8 and "And another end" in got[8].text and "Quite another" in got[8].text
@@ -348,6 +447,51 @@ def test_rule_counts(spark, docs, awkward, empty):
     assert trees.judged(empty, None).count() == 0 and trees.judged(awkward, None).where("kept = base_failed").count() == 0
 
 
+def _walk(forest, x):
+    """Probability by going down each tree node by node."""
+    total = forest.bias
+    for node in forest.roots.tolist():
+        while forest.left[node] != node:
+            node = int(forest.left[node] if x[forest.feature[node]] <= forest.threshold[node] else forest.right[node])
+        total += forest.value[node]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_verdicts_by_brute_force(spark, docs, awkward):
+    """The trees' probabilities and verdicts, one text and one node at a time."""
+    import pyarrow as pa
+
+    forest = trees.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    for table in (docs, awkward, awkward.union(awkward)):
+        want = []
+        for r in table.collect():
+            p = _walk(forest, stats.statistics(pa.array([r.text], pa.string()))[1][0])
+            n, *_, repeated = o.rule_counts(r.text)
+            want.append((r.doc_id, n >= 10 and 100 * repeated <= 20 * n and p >= trees.VERDICT, round(p, 9)))
+        got = [(i, kept, round(p, 9)) for i, kept, p in rows(trees.judged(table, forest), "doc_id", "kept", "probability")]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_features_by_brute_force(docs, awkward):
+    """What the models read of a text, counted in plain Python."""
+    import pyarrow as pa
+
+    for r in [*docs.collect(), *awkward.collect()]:
+        x = dict(zip(stats.FEATURES, stats.statistics(pa.array([r.text], pa.string()))[1][0].tolist(), strict=True))
+        text, w = r.text or "", o.words(r.text)
+        n, chars, symbols, dup, repeated = o.rule_counts(r.text)
+        lines_ = [line for line in text.split("\n") if o.words(line)]
+        letters = [c for b in text.encode() for c in [b] if 65 <= c <= 90 or 97 <= c <= 122 or c >= 192]
+        want = {
+            "log_words": math.log1p(n), "word_length": chars / max(n, 1), "symbol_share": symbols / max(len(text), 1), "upper_share": sum(65 <= c <= 90 for c in letters) / max(len(letters), 1),
+            "punctuation_share": sum(c in string.punctuation for c in text) / max(len(text), 1), "digit_share": sum(c in "0123456789" for c in text) / max(len(text), 1), "repeat_share": repeated / max(n, 1),
+            "dup_line_share": dup / max(len(lines_), 1), "known_word_share": (n - len(set(w))) / max(n, 1), "doubled_share": sum(a == b for a, b in zip(w, w[1:])) / max(n, 1),
+            "short_word_share": sum(len(y) <= 1 for y in w) / max(n, 1), "long_word_share": sum(len(y) > 12 for y in w) / max(n, 1), "sentence_ends": sum(y[-1] in ".!?" for y in w) / max(n, 1),
+            "line_words": math.log1p(n / max(len(lines_), 1)), "exclamation_share": text.count("!") / max(len(text), 1),
+        }
+        assert all(abs(x[k] - want[k]) < 1e-9 for k in want) and want.keys() == x.keys()
+
+
 def test_forest_is_monotonic_and_flat():
     rng = np.random.default_rng(3)
     x = rng.random((4000, 3))
@@ -361,6 +505,32 @@ def test_forest_is_monotonic_and_flat():
     assert trees.grow(x, np.ones(4000, int), np.zeros(3)) is None
 
 
+def test_ranking_by_brute_force(spark, docs, awkward):
+    """Scores one text at a time; and the weights are where the ridged logistic loss of all drawn pairs has no slope."""
+    import pyarrow as pa
+
+    x, label = stats.training_sample(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = pairwise.fit(x, label)
+    for table in (docs, awkward, awkward.union(awkward)):
+        want = []
+        for r in table.collect():
+            z = [min(4.0, max(-4.0, (v - c) / s)) for v, c, s in zip(stats.statistics(pa.array([r.text], pa.string()))[1][0].tolist(), model.center, model.scale, strict=True)]
+            strength = sum(a * w for a, w in zip([*z, *(v * v for v in z)], model.weights, strict=True))
+            score = 1 / (1 + math.exp(-((strength - model.cut) * model.slope + math.log(0.3 / 0.7)))) if o.words(r.text) else 0.0
+            want.append((r.doc_id, o.held_out(r.doc_id), round(score, 9)))
+        got = [(i, h, round(s, 9)) for i, h, s in rows(pairwise.scores(table, model), "doc_id", "held_out", "score")]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    rng, size = np.random.default_rng(7), min(pairwise.PAIRS, 20 * len(x))
+    pairs = list(zip(rng.choice(good, size).tolist(), rng.choice(bad, size).tolist(), strict=True))
+    z = model.inputs(x)
+    slope = np.zeros(z.shape[1])
+    for i, j in pairs:
+        d = z[i] - z[j]
+        slope += d / (1 + math.exp(min(30.0, max(-30.0, float(d @ model.weights)))))
+    assert np.abs(slope / size - 1e-3 * model.weights).max() < 1e-5
+
+
 def test_pairwise_quality(spark, awkward, empty):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op1_pairwise_quality(spark, sf).collect()}
