@@ -16,7 +16,7 @@ from graphsieve.plans.predicates import atom_column, bond_column
 from graphsieve.smarts.query import Query, primitives
 from graphsieve.sources.tables import Corpus
 
-MOST_ATOMS, MOST_COMPONENTS = 8, 2
+MOST_ATOMS, MOST_COMPONENTS = 16, 3
 
 
 def needs_kernel(query: Query) -> bool:
@@ -30,7 +30,7 @@ def needs_kernel(query: Query) -> bool:
 def embeddings(corpus: Corpus, query: Query, anchored: bool = False) -> DataFrame:
     """(mol_id, q0, q1, ...): one row for every embedding."""
     matcher = Matcher(query)
-    order = matcher.order(0 if anchored else None)
+    order = matcher.sequence(anchored)
     atoms, slots = corpus.atoms.where("NOT hidden_h"), {}
     for atom in query.atoms:
         for node, _ in primitives(atom.expr):
