@@ -1,11 +1,14 @@
-"""Molecules as two long tables, one row an atom and one row a bond, keyed by mol_id; and readers and writers of them.
+"""Molecules as two long tables, one row an atom and one row a bond, and as one packed row each, keyed by mol_id; readers and writers of them.
 
-A text that is no molecule gives no rows there, and a row with its error in `errors`. Each distinct text is prepared once.
+A text that is no molecule gives no rows there, and a row with its error in `errors`. Each distinct text is prepared once, and what
+comes of it is stored, so that no later use repeats the work and a very frequent text is no hot key of an aggregate.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,53 +17,68 @@ from pyspark.sql import functions as F
 
 from graphsieve.chem.perception import Molecule, prepare
 from graphsieve.chem.smiles import SmilesError
+from graphsieve.plans.columnar import ATOM_TYPES, BOND_TYPES, pack
+from graphsieve.workspace import written
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 ATOM_FIELDS = {
     "z": "int", "isotope": "int", "aromatic": "boolean", "charge": "int", "degree": "int", "connectivity": "int", "implicit_h": "int", "total_h": "int", "valence": "int",
     "hyb": "int", "hetero": "int", "aliph_hetero": "int", "ring_count": "int", "min_ring": "int", "ring_bonds": "int", "in_ring": "boolean", "component": "int", "hidden_h": "boolean",
 }
-_ATOMS = "array<struct<atom_id:int," + ",".join(f"{k}:{v}" for k, v in ATOM_FIELDS.items()) + ">>"
-_BONDS = "array<struct<bond_id:int,a:int,b:int,label:string,in_ring:boolean>>"
-PREPARED = f"smiles string, error string, error_start int, error_end int, atoms {_ATOMS}, bonds {_BONDS}"
+BOND_FIELDS = {"a": "int", "b": "int", "label": "string", "in_ring": "boolean"}
+PACKED = (*(f"atom_{k}" for k in ATOM_TYPES), *(f"bond_{k}" for k in BOND_TYPES))
 _TYPES = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
-_ARROW = pa.schema(
-    [
-        ("smiles", pa.string()), ("error", pa.string()), ("error_start", pa.int32()), ("error_end", pa.int32()),
-        ("atoms", pa.list_(pa.struct([("atom_id", pa.int32()), *((k, _TYPES[v]) for k, v in ATOM_FIELDS.items())]))),
-        ("bonds", pa.list_(pa.struct([("bond_id", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("label", pa.string()), ("in_ring", pa.bool_())]))),
-    ]
-)
-
-
-def _row(text: str | None) -> dict:
-    out = {"smiles": text, "error": None, "error_start": None, "error_end": None, "atoms": [], "bonds": []}
-    if not (text or "").strip():
-        return out | {"error": "empty_target"}
-    try:
-        m: Molecule = prepare(text)
-    except SmilesError as e:
-        return out | {"error": "invalid_target_smiles", "error_start": e.start, "error_end": e.end}
-    columns = [getattr(m, k) for k in ATOM_FIELDS]
-    out["atoms"] = [dict(zip(("atom_id", *ATOM_FIELDS), (i, *values), strict=True)) for i, values in enumerate(zip(*columns, strict=True))]
-    out["bonds"] = [{"bond_id": i, "a": b.a, "b": b.b, "label": m.label[i], "in_ring": m.bond_ring[i]} for i, b in enumerate(m.graph.bonds)]
-    return out
+_ATOM, _BOND = {"atom_id": "int", **ATOM_FIELDS}, {"bond_id": "int", **BOND_FIELDS}
+PREPARED = (
+    "smiles string, error string, error_start int, error_end int, "
+    f"atoms array<struct<{','.join(f'{k}:{v}' for k, v in _ATOM.items())}>>, bonds array<struct<{','.join(f'{k}:{v}' for k, v in _BOND.items())}>>, " + ", ".join(f"{k} binary" for k in PACKED)
+)
+
+
+def _lists(sizes: list[int], fields: dict[str, str], values: dict[str, list]) -> pa.Array:
+    offsets = [0]
+    for n in sizes:
+        offsets.append(offsets[-1] + n)
+    made = pa.StructArray.from_arrays([pa.array(values[k], _TYPES[v]) for k, v in fields.items()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
+
+
+def _prepared(texts: list[str | None]) -> pa.RecordBatch:
+    errors: list[tuple] = []
+    molecules: list[Molecule | None] = []
+    for text in texts:
+        try:
+            molecules.append(prepare(text) if (text or "").strip() else None)
+            errors.append((None, None, None) if molecules[-1] else ("empty_target", None, None))
+        except SmilesError as e:
+            molecules.append(None)
+            errors.append(("invalid_target_smiles", e.start, e.end))
+    known = [m for m in molecules if m is not None]
+    atoms = {k: [v for m in known for v in getattr(m, k)] for k in ATOM_FIELDS} | {"atom_id": [i for m in known for i in range(len(m))]}
+    bonds = {k: [getattr(x, k) for m in known for x in m.graph.bonds] for k in "ab"} | {"bond_id": [i for m in known for i in range(len(m.label))], "label": [x for m in known for x in m.label], "in_ring": [x for m in known for x in m.bond_ring]}
+    packed = [pack(m) if m is not None else {} for m in molecules]
+    columns = [pa.array(texts, pa.string()), *(pa.array([e[i] for e in errors], pa.string() if i == 0 else pa.int32()) for i in range(3))]
+    columns += [_lists([len(m) if m else 0 for m in molecules], _ATOM, atoms), _lists([len(m.label) if m else 0 for m in molecules], _BOND, bonds)]
+    columns += [pa.array([p.get(k) for p in packed], pa.binary()) for k in PACKED]
+    return pa.RecordBatch.from_arrays(columns, ["smiles", "error", "error_start", "error_end", "atoms", "bonds", *PACKED])
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
-            yield pa.RecordBatch.from_pylist([_row(t) for t in batch.column(0).slice(start, 1000).to_pylist()], schema=_ARROW)
+            yield _prepared(batch.column(0).slice(start, 1000).to_pylist())
 
 
 @dataclass
 class Corpus:
-    """molecules (mol_id, smiles), atoms (mol_id, atom_id, ...), bonds (mol_id, bond_id, a, b, label, in_ring), errors (mol_id, smiles, error, ...)."""
+    """molecules (mol_id, smiles), atoms (mol_id, atom_id, ...), bonds (mol_id, bond_id, a, b, label, in_ring), errors (mol_id, smiles, error, ...),
+    packed (mol_id, smiles, PACKED columns), one row a molecule, or None where there are only graphs."""
 
     molecules: DataFrame
     atoms: DataFrame
     bonds: DataFrame
     errors: DataFrame
+    packed: DataFrame | None = None
 
     @property
     def directed(self) -> DataFrame:
@@ -71,43 +89,53 @@ class Corpus:
     def local(self, partitions: int) -> Corpus:
         """The same with atoms and bonds dealt by mol_id and kept, so that every join of a pattern stays within its partition.
 
-        Spark knows how they are dealt once they are computed, so count them first. Sets spark.sql.requireAllClusterKeysForCoPartition
-        to false, without which Spark deals anew by mol_id and atom.
+        Spark knows how they are dealt once they are computed, so count them first, and only while spark.sql.requireAllClusterKeysForCoPartition
+        is false, which is left to the caller; otherwise it deals anew by mol_id and atom.
         """
-        self.atoms.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         atoms, bonds = (df.repartition(partitions, "mol_id").persist() for df in (self.atoms, self.bonds))
-        return Corpus(self.molecules, atoms, bonds, self.errors)
+        return Corpus(self.molecules, atoms, bonds, self.errors, self.packed)
 
     def write(self, path: str, shards: int | None = None) -> None:
-        """Parquet with zstd; with shards, partitioned by shard_id, the hash of mol_id."""
-        for name in ("molecules", "atoms", "bonds", "errors"):
-            df = getattr(self, name).withColumn("format_version", F.lit(FORMAT_VERSION))
+        """Parquet with zstd; with shards, partitioned by shard_id, the hash of mol_id. The tables are written side by side."""
+        spark = self.molecules.sparkSession
+        tables = {n: df for n in ("molecules", "atoms", "bonds", "errors", "packed") if (df := getattr(self, n)) is not None}
+
+        def one(name: str) -> None:
+            df = tables[name]
             writer = (df.withColumn("shard_id", F.pmod(F.xxhash64("mol_id"), F.lit(shards))) if shards else df).write.mode("overwrite").option("compression", "zstd")
             (writer.partitionBy("shard_id") if shards else writer).parquet(f"{path}/{name}")
 
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(one, tables))
+        about = [(json.dumps({"format_version": FORMAT_VERSION, "shards": shards, "tables": sorted(tables)}),)]
+        spark.createDataFrame(about, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
     @classmethod
     def read(cls, spark: SparkSession, path: str, shards: list[int] | None = None) -> Corpus:
-        def table(name: str) -> DataFrame:
+        """What `write` wrote, or some of its shards. The version stands in a file of its own, so that no table is read for it."""
+        about = json.loads(spark.read.text(f"{path}/about").first().value)
+        if about["format_version"] != FORMAT_VERSION:
+            raise ValueError(f"format version {about['format_version']}, not {FORMAT_VERSION}")
+
+        def table(name: str) -> DataFrame | None:
+            if name not in about["tables"]:
+                return None
             df = spark.read.parquet(f"{path}/{name}")
-            versions = [r[0] for r in df.select("format_version").distinct().limit(2).collect()]
-            if versions not in ([], [FORMAT_VERSION]):
-                raise ValueError(f"format versions {versions}, not {FORMAT_VERSION}")
-            if shards is not None:
-                df = df.where(F.col("shard_id").isin(shards))
-            return df.drop("format_version", "shard_id")
+            return (df if shards is None else df.where(F.col("shard_id").isin(shards))).drop("shard_id")
 
-        return cls(*(table(n) for n in ("molecules", "atoms", "bonds", "errors")))
+        return cls(*(table(n) for n in ("molecules", "atoms", "bonds", "errors", "packed")))
 
 
 def from_smiles(molecules: DataFrame) -> Corpus:
-    """molecules: mol_id bigint, smiles string. Atoms and bonds are computed where they are used; write them to compute them once."""
+    """molecules: mol_id bigint, smiles string. Distinct texts are prepared now and stored in the shared folder; the tables read them from there."""
     molecules = molecules.select(F.col("mol_id").cast("long").alias("mol_id"), F.col("smiles").cast("string").alias("smiles"))
-    prepared = molecules.select("smiles").distinct().mapInArrow(_prepare, PREPARED)
-    joined = molecules.join(prepared, molecules.smiles.eqNullSafe(prepared.smiles)).select("mol_id", prepared.smiles, "error", "error_start", "error_end", "atoms", "bonds")
+    prepared = written(molecules.select("smiles").distinct().mapInArrow(_prepare, PREPARED), "prepared")
+    joined = molecules.join(prepared, molecules.smiles.eqNullSafe(prepared.smiles)).drop(prepared.smiles)
     atoms = joined.select("mol_id", F.explode("atoms").alias("x")).select("mol_id", "x.*")
     bonds = joined.select("mol_id", F.explode("bonds").alias("x")).select("mol_id", "x.*")
     errors = joined.where("error IS NOT NULL").select("mol_id", "smiles", "error", "error_start", "error_end")
-    return Corpus(molecules, atoms, bonds, errors)
+    packed = joined.where("error IS NULL").select("mol_id", "smiles", *PACKED)
+    return Corpus(molecules, atoms, bonds, errors, packed)
 
 
 def from_graphs(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:

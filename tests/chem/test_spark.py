@@ -15,7 +15,7 @@ from graphsieve.streaming.match import matched
 from tests.conftest import SF
 
 SMILES = ["CCO", "CC(=O)O", "c1ccccc1O", "CC(N)C(=O)O", "C1CC1C=O", "[Na+].[Cl-].CC", "O=C(O)c1nc(O)ccn1", "[13CH4]", "[2H]Cl", "bad(", "", None, "c1ccc2[nH]ccc2c1", "CC(=O)O"]
-PATTERNS = ["C=O", "[C;!$(C=O)]O", "c1ccccc1", "(C).(Cl)", "[!#6]", "C(=O)[O;H,-]", "[$(C[$(C=O)])]", "F/C=C/F"]
+PATTERNS = ["C=O", "[C;!$(C=O)]O", "c1ccccc1", "(C).(Cl)", "[!#6]", "C(=O)[O;H,-]", "[$(C[$(C=O)])]", "F/C=C/F", "C.O.O", "(C.O)", "[$(C.Cl)]", "CC(=O)O"]
 
 
 @pytest.fixture(scope="module")
@@ -32,13 +32,20 @@ def good():
 
 
 @pytest.mark.parametrize("smarts", PATTERNS)
-def test_joins_and_kernel_agree(corpus, smarts):
+@pytest.mark.parametrize("joined", [False, True])
+def test_joins_batches_and_kernel_agree(corpus, smarts, joined):
     matcher = Matcher.of(smarts)
     want = {i: matcher.unique(m) for i, m in good() if matcher.matches(m)}
-    assert {r.mol_id: r.embeddings for r in match.embeddings(corpus, smarts).collect()} == want
-    assert {r.mol_id: r.n for r in match.counts(corpus, smarts).collect()} == {i: len(e) for i, e in want.items()}
-    assert {r.mol_id for r in match.exists(corpus, smarts).collect()} == set(want)
-    assert {r.mol_id: round(r.coverage, 9) for r in match.coverage(corpus, smarts).collect()} == {i: round(matcher.outcome(m).coverage, 9) for i, m in good()}
+    assert {r.mol_id: r.embeddings for r in match.embeddings(corpus, smarts, joined).collect()} == want
+    assert {r.mol_id: r.n for r in match.counts(corpus, smarts, joined).collect()} == {i: len(e) for i, e in want.items()}
+    assert [r.mol_id for r in match.exists(corpus, parse(smarts), joined).orderBy("mol_id").collect()] == sorted(want)
+    assert {r.mol_id: round(r.coverage, 9) for r in match.coverage(corpus, smarts, joined).collect()} == {i: round(matcher.outcome(m).coverage, 9) for i, m in good()}
+
+
+def test_thresholds(corpus):
+    needs = [(1, "C", 2), (2, "[#8]", 2), (3, "N", 0), (4, "c", 6)]
+    want = {(i, k) for i, m in good() for k, s, n in needs if Matcher.of(s).count(m) >= n}
+    assert sorted(map(tuple, match.at_least(corpus, needs).collect())) == sorted(want)
 
 
 def test_joins_stay_on_the_jvm(corpus):
@@ -124,12 +131,13 @@ def test_index_shards(spark, corpus, tmp_path):
 
 
 def test_joins_of_a_local_corpus_need_no_shuffle(spark, corpus):
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     held = corpus.local(4)
     held.atoms.count(), held.bonds.count()
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = match.counts(held, "CC(=O)[O;H1,-]")
+        found = match.counts(held, "CC(=O)[O;H1,-]", joined=True)
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ENSURE_REQUIREMENTS") == 0
         assert {tuple(r) for r in found.collect()} == {tuple(r) for r in match.counts(corpus, "CC(=O)[O;H1,-]").collect()}
