@@ -1,6 +1,6 @@
 """Removal of repeated passages: sliding spans of consecutive sentences.
 
-A sentence ends after a word that ends in . ! or ?, before closing quotes and brackets, and at the text's end. Every run of 3, 4 or 5
+A sentence ends after a word that ends in . ! or ?, before closing quotes and brackets, and at the text's end. Every run of SENTENCES
 consecutive sentences that has WORDS words or more is a span. Spans are hashed over their words (A-Z lower-cased), spans with equal hashes
 are joined globally, and every sentence goes that lies in a span which is not the first of its kind, by doc_id and place.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from graphsieve.llm import textblocks as tb
 from graphsieve.llm.store import small_batches, written
 
-SENTENCES, WORDS = (3, 4, 5), 32
+SENTENCES, WORDS = 4, 32
 #: Words of a run that is never missed whole.
 SHARED = 50
 _SLICE = 1 << 15
@@ -54,8 +54,7 @@ class Sentences:
         ends = np.flatnonzero(marked | row_last[1:]) + 1
         self._sum_words()
         begins, row_end = np.concatenate([[0], ends]), np.append(words.first, n)
-        found = [(begins[: max(len(ends) - k + 1, 0)], ends[k - 1 :]) for k in SENTENCES]
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        a, b = begins[: max(len(ends) - SENTENCES + 1, 0)], ends[SENTENCES - 1 :]
         fits = (b - a >= WORDS) & (b <= row_end[np.searchsorted(words.first, a, "right")])
         a, b = a[fits], b[fits]
         free = ~row_first[a] & marked[b - 1]
@@ -83,9 +82,7 @@ class Sentences:
         row_end = np.repeat(self.words.first[1:], self.words.counts)
         run = np.arange(len(row_end))
         run = run[run + SHARED <= row_end]
-        order = np.argsort(a)
-        soonest = np.minimum.accumulate(np.append(b[order], len(row_end) + SHARED)[::-1])[::-1]  # end of the spans that begin there or later
-        run = run[soonest[np.searchsorted(a[order], run + 1, "left")] > run + SHARED]
+        run = run[np.append(b, len(row_end) + SHARED)[np.searchsorted(a, run + 1, "left")] > run + SHARED]
         at = np.arange(max(len(self.hashes) - WORDS + 1, 0))
         hashes, inside = self._run_hashes(at, at + WORDS) if len(run) else at, np.arange(SHARED - WORDS + 1)
         found = [part + hashes[part[:, None] + inside].argmin(axis=1) for part in (run[i : i + _SLICE] for i in range(0, len(run), _SLICE))]

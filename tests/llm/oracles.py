@@ -80,13 +80,13 @@ def window_hash(hashes):
     return x
 
 
-def passage_spans(text, sentences=(3, 4, 5), least=32, shared=50):
+def passage_spans(text, sentences=4, least=32, shared=50):
     """Spans (first word, word after the last one) and sentence ends of one text, word by word."""
     w = words(text)
     marked = [(x[:-1] if len(x) > 1 and x[-1] in "\"')]" else x)[-1] in ".!?" for x in w]
     ends = [i + 1 for i in range(len(w)) if marked[i] or i + 1 == len(w)]
     begins = [0, *ends][: len(ends)]
-    runs = {(a, ends[i + k - 1]) for k in sentences for i, a in enumerate(begins) if i + k <= len(ends) and ends[i + k - 1] - a >= least}
+    runs = {(a, ends[i + sentences - 1]) for i, a in enumerate(begins) if i + sentences <= len(ends) and ends[i + sentences - 1] - a >= least}
     free = [(a, b) for a, b in runs if a > 0 and marked[b - 1]]
     hashes = word_hashes(w)
     memo, seeds = {}, set()
