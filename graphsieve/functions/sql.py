@@ -36,6 +36,7 @@ def _molecule(smiles: str):
 
 _PATTERN = {
     "smarts_canonical": (canonical.canonical, "string"),
+    "smarts_labeling": (canonical.canonical_labeling, "array<int>"),
     "smarts_text": (query.to_smarts, "string"),
     "smarts_atom_count": (lambda q: len(q.atoms), "long"),
     "smarts_bond_count": (lambda q: len(q.bonds), "long"),
@@ -83,10 +84,21 @@ def function(name: str) -> Callable:
     return F.pandas_udf(one, (_TEXT | _PATTERN)[name][1])
 
 
+class Embeddings:
+    """Table function: a row for each set of atoms on which the pattern lies in the molecule; none for a text that is neither."""
+
+    def eval(self, smiles: str, smarts: str):
+        molecule, pattern = (None, None) if smiles is None or smarts is None else (_molecule(smiles), _matcher(smarts))
+        if molecule is not None and pattern is not None:
+            for place, to in enumerate(pattern.unique(molecule)):
+                yield place, to
+
+
 def register(spark: SparkSession) -> None:
-    """Makes every function known to SQL by its name."""
+    """Makes every function known to SQL by its name, and smiles_embeddings(smiles, smarts) as a table function."""
     for name in NAMES:
         spark.udf.register(name, function(name))
+    spark.udtf.register("smiles_embeddings", F.udtf(Embeddings, returnType="place int, atoms array<int>"))
 
 
 def smiles_match(smiles: str | Column, smarts: str | Column) -> Column:

@@ -2,8 +2,10 @@
 
 A molecule is described by how often each fact holds of its atoms and bonds, and by how often each path of two to four atoms
 and each star of three arms occurs; a pattern by how many it needs. Facts come only from what an expression forces: an `and` joins
-them, an `or` keeps the common ones, a negation gives none. What a pattern does not force in a path is open and fits any
-label. Every hit is among the candidates.
+them, an `or` keeps the common ones, a negation gives none; a bond on a cycle of the pattern lies in a ring. What a pattern does not
+force in a path is open and fits any label. Every hit is among the candidates.
+
+An atom is spelled by its number, aromaticity, degree and hydrogens (6Ad2h2), a bond by its kind and whether it is in a ring (S!, A@).
 """
 
 from __future__ import annotations
@@ -11,14 +13,20 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphsieve.functions.sql import smiles_match
+from graphsieve.operators.match import Pattern, by_batch
+from graphsieve.plans.columnar import LABELS, Batch
 from graphsieve.plans.kernel import STATES, bond_states
+from graphsieve.smarts import edit
 from graphsieve.smarts.query import Query, parse
 from graphsieve.sources.tables import Corpus
+from graphsieve.workspace import written
 
 FAMILIES = ("count", "edge", "path3", "path4", "star3")
 
@@ -57,9 +65,8 @@ def _bond_code(expr: tuple | None) -> tuple[str | None, bool]:
 
 
 def _atom_pattern(facts: frozenset[str]) -> str:
-    z = next((f[1:] for f in facts if re.fullmatch(r"z\d+", f)), None)
-    aromatic = next((f[-1] for f in facts if f.startswith("aromatic")), None)
-    return (z or r"-?\d+") + ({"1": "a", "0": "A"}[aromatic] if aromatic else "[aA]")
+    known = {name: next((f[len(name) :] for f in sorted(facts) if re.fullmatch(name + r"\d+", f)), None) for name in ("z", "aromatic", "degree", "total_h")}
+    return (known["z"] or r"\d+") + {"1": "a", "0": "A", None: "[aA]"}[known["aromatic"]] + "d" + (known["degree"] or r"\d+") + "h" + (known["total_h"] or r"\d+")
 
 
 def _bond_pattern(code: tuple[str | None, bool]) -> str:
@@ -69,12 +76,14 @@ def _bond_pattern(code: tuple[str | None, bool]) -> str:
 def requirements(query: Query) -> list[tuple[str, str, int]]:
     """(family, key, least count): keys of counts are facts, of the others patterns over features as `features` spells them."""
     out: Counter = Counter()
-    facts = [forced(a.expr) for a in query.atoms]
+    cyclic = [edit.is_cycle_edge(query, i) for i in range(len(query.bonds))]
+    inside = {v for b, ring in zip(query.bonds, cyclic, strict=True) if ring for v in (b.a, b.b)}
+    facts = [forced(a.expr) | ({"ring"} if v in inside else set()) for v, a in enumerate(query.atoms)]
     out["count", "atoms"] = len(query.atoms)
     for own in facts:
         for fact in own:
             out["count", f"atom_{fact}"] += 1
-    codes = [_bond_code(b.expr) for b in query.bonds]
+    codes = [(kind, ring or on_cycle) for (kind, ring), on_cycle in zip((_bond_code(b.expr) for b in query.bonds), cyclic, strict=True)]
     for kind, ring in codes:
         if kind:
             out["count", f"bond_{kind}"] += 1
@@ -105,13 +114,137 @@ def requirements(query: Query) -> list[tuple[str, str, int]]:
     return [(family, key, n) for (family, key), n in sorted(out.items())]
 
 
-def requirement_table(spark: SparkSession, patterns: list[tuple[int, str]]) -> DataFrame:
-    rows = [(i, *r) for i, s in patterns for r in requirements(parse(s))]
+def requirement_table(spark: SparkSession, patterns: list[tuple[int, Pattern]]) -> DataFrame:
+    rows = [(i, *r) for i, p in patterns for r in requirements(parse(p) if isinstance(p, str) else p)]
     return spark.createDataFrame(rows, "query_id long, family string, key string, need long")
 
 
+_KINDS = ["S" if label in "SUW" else label for label in LABELS]
+_FEATURES = "mol_id long, family string, key string, n long"
+
+
+def _counted(mol: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Molecule, code and number of each pair of them."""
+    order = np.lexsort((code, mol))
+    mol, code = mol[order], code[order]
+    at = np.flatnonzero(np.concatenate([[True], (mol[1:] != mol[:-1]) | (code[1:] != code[:-1])])) if len(mol) else np.zeros(0, np.int64)
+    return mol[at], code[at], np.diff(np.append(at, len(mol)))
+
+
+def _pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and element of every line's range low to high."""
+    many = np.maximum(high - low, 0)
+    line = np.repeat(np.arange(len(low)), many)
+    return line, np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+
+
+def _shapes(batch: Batch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """Family, and of its keys molecule, place in the list of spellings, number and the list, of the batch.
+
+    Labels are numbered in the order of their spelling, so that the lesser of two spellings is the lesser number.
+    """
+    f = batch.field
+    label = np.stack([np.maximum(f("z"), 0), f("aromatic"), f("degree"), f("total_h")], axis=1)
+    distinct, number = np.unique(label, axis=0, return_inverse=True)
+    spelled = [f"{z}{'a' if arom else 'A'}d{d}h{h}" for z, arom, d, h in distinct.tolist()]
+    order = np.argsort(spelled) if spelled else np.zeros(0, np.int64)
+    names, rank = [spelled[i] for i in order], np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    atom = rank[number.ravel()] if len(rank) else np.zeros(0, np.int64)
+    kinds = sorted({k + r for k in _KINDS for r in "!@"})
+    state = np.array([kinds.index(k + r) for k in _KINDS for r in "!@"])
+    n, b = max(len(names), 1), len(kinds)
+    origin = batch.key // max(batch.atoms, 1)
+    seen = batch.shown[origin] & batch.shown[batch.to]
+    x, y, bond = origin[seen], batch.to[seen], state[batch.state[seen]]
+    begin = np.searchsorted(x, np.arange(batch.atoms + 1))
+
+    def keyed(family: str, at: np.ndarray, parts: list[np.ndarray]):
+        code = back = np.zeros(len(at), np.int64)
+        for k, (p, q) in enumerate(zip(parts, parts[::-1], strict=True)):
+            code, back = code * (b if k % 2 else n) + p, back * (b if k % 2 else n) + q
+        mol, code, many = _counted(batch.mol[at], np.minimum(code, back) if family != "star3" else code)
+        keys, place = np.unique(code, return_inverse=True)
+        texts = []
+        for key in keys.tolist():
+            shown = []
+            for k in reversed(range(len(parts))):
+                key, v = divmod(key, b if k % 2 else n)
+                shown.append(kinds[v] if k % 2 else names[v])
+            shown.reverse()
+            texts.append("-".join(shown) if family != "star3" else "-".join([shown[0], *(shown[k] + shown[k + 1] for k in (1, 3, 5))]))
+        return family, mol, place, many, texts
+
+    once = np.flatnonzero(x < y)
+    yield keyed("edge", x[once], [atom[x[once]], bond[once], atom[y[once]]])
+    first, second = _pairs(np.arange(len(x)) + 1, begin[x + 1])
+    yield keyed("path3", x[first], [atom[y[first]], bond[first], atom[x[first]], bond[second], atom[y[second]]])
+    line, third = _pairs(second + 1, begin[x[second] + 1])
+    arms = np.sort(np.stack([bond[e] * n + atom[y[e]] for e in (first[line], second[line], third)], axis=1), axis=1) if len(line) else np.zeros((0, 3), np.int64)
+    yield keyed("star3", x[third], [atom[x[third]], *(v for k in range(3) for v in (arms[:, k] // n, arms[:, k] % n))])
+    line, left = _pairs(begin[x[once]], begin[x[once] + 1])
+    middle = once[line]
+    apart = y[left] != y[middle]
+    left, middle = left[apart], middle[apart]
+    line, right = _pairs(begin[y[middle]], begin[y[middle] + 1])
+    left, middle = left[line], middle[line]
+    apart = (y[right] != x[middle]) & (y[right] != y[left])
+    left, middle, right = left[apart], middle[apart], right[apart]
+    yield keyed("path4", x[middle], [atom[y[left]], bond[left], atom[x[middle]], bond[middle], atom[y[middle]], bond[right], atom[y[right]]])
+
+
+def _facts(batch: Batch) -> Iterator[tuple[str, np.ndarray]]:
+    """Count keys with the number of each molecule."""
+    f = batch.field
+    count = lambda mask: np.bincount(batch.mol[mask & batch.shown], minlength=batch.size)
+    yield "atoms", count(np.ones(batch.atoms, bool))
+    for z in np.unique(f("z")[f("z") >= 0]).tolist():
+        yield f"atom_z{z}", count(f("z") == z)
+    for k in (0, 1):
+        yield f"atom_aromatic{k}", count((f("z") >= 0) & (f("aromatic") == k))
+    for name in ("degree", "total_h"):
+        for v in np.unique(f(name)).tolist():
+            yield f"atom_{name}{v}", count(f(name) == v)
+    yield "atom_ring", count(f("in_ring") == 1)
+    state = batch.bond_field("state")[:, 0]
+    for kind in sorted(set(_KINDS)):
+        yield f"bond_{kind}", np.bincount(batch.bond_mol[np.isin(state // 2, [i for i, k in enumerate(_KINDS) if k == kind])], minlength=batch.size)
+    yield "bond_ring", np.bincount(batch.bond_mol[state % 2 == 1], minlength=batch.size)
+
+
+_READ = ["atom_hidden_h", "atom_z", "atom_aromatic", "atom_degree", "atom_total_h", "atom_in_ring", "bond_a", "bond_b", "bond_state"]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for held in batches:
+        if not held.num_rows:
+            continue
+        batch, ids = Batch({c: held.column(c) for c in _READ}), held.column("mol_id")
+
+        def rows(family: str, mol: np.ndarray, keys: pa.Array, n: np.ndarray, ids: pa.Array = ids) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(mol)), pa.array([family] * len(mol), pa.string()), keys, pa.array(n.astype(np.int64))], ["mol_id", "family", "key", "n"])
+
+        for key, n in _facts(batch):
+            mol = np.flatnonzero(n)
+            yield rows("count", mol, pa.array([key] * len(mol), pa.string()), n[mol])
+        for family, mol, place, n, texts in _shapes(batch):
+            yield rows(family, mol, pa.array(texts, pa.string()).take(pa.array(place)), n)
+
+
 def features(corpus: Corpus) -> DataFrame:
-    """(mol_id, family, key, n): counts of facts, and of paths and stars with each key spelled one way."""
+    """(mol_id, family, key, n): counts of facts, and of paths and stars with each key spelled one way; from packed rows without a shuffle."""
+    if corpus.packed is None:
+        return joined_features(corpus)
+    return corpus.packed.select("mol_id", *_READ).mapInArrow(_index, _FEATURES)
+
+
+def dictionary(index: DataFrame) -> DataFrame:
+    """(family, key, molecules, total, most): the distinct keys of an index, which are bounded by the labels there are, with their numbers."""
+    return index.groupBy("family", "key").agg(F.count(F.lit(1)).alias("molecules"), F.sum("n").alias("total"), F.max("n").alias("most"))
+
+
+def joined_features(corpus: Corpus) -> DataFrame:
+    """The same by joins over atoms and bonds tables, for corpora without packed rows."""
     atoms, bonds = corpus.atoms, corpus.bonds
     shown = atoms.where("NOT hidden_h")
     facts = F.array_compact(
@@ -123,7 +256,7 @@ def features(corpus: Corpus) -> DataFrame:
     kind = F.when(F.col("label").isin("S", "U", "W"), "S").otherwise(F.col("label"))
     bond_facts = F.array_compact(F.array(F.concat(F.lit("bond_"), kind), F.when(F.col("in_ring"), F.lit("bond_ring"))))
     counts = shown.select("mol_id", F.explode(facts).alias("key")).union(bonds.select("mol_id", F.explode(bond_facts).alias("key"))).withColumn("family", F.lit("count"))
-    codes = shown.select("mol_id", "atom_id", F.concat(F.coalesce("z", F.lit(0)).cast("string"), F.when(F.col("aromatic"), "a").otherwise("A")).alias("code"))
+    codes = shown.select("mol_id", "atom_id", F.concat(F.coalesce("z", F.lit(0)).cast("string"), F.when(F.col("aromatic"), "a").otherwise("A"), F.lit("d"), "degree", F.lit("h"), "total_h").alias("code"))
     arcs = corpus.directed.select("mol_id", "a", "b", F.concat(kind, F.when(F.col("in_ring"), "@").otherwise("!")).alias("bond"))
     arcs = arcs.join(codes.select("mol_id", F.col("atom_id").alias("a"), F.col("code").alias("ca")), ["mol_id", "a"]).join(codes.select("mol_id", F.col("atom_id").alias("b"), F.col("code").alias("cb")), ["mol_id", "b"])
 
@@ -150,20 +283,30 @@ def features(corpus: Corpus) -> DataFrame:
     return rows.groupBy("mol_id", "family", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def candidates(index: DataFrame, needs: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+def candidates(index: DataFrame, needs: DataFrame, families: tuple[str, ...] = FAMILIES, words: DataFrame | None = None) -> DataFrame:
     """(query_id, mol_id) of pairs in which the molecule has all that the pattern needs.
 
-    Patterns are held against the dictionary of distinct keys, which is bounded by the labels there are, and only then joined with the index.
+    What several patterns need alike is looked up once. It is held against words, the dictionary of distinct keys, taken from the index if it is not
+    given; the keys that fit are stored, and only index rows of these keys are joined and summed by molecule. No side is broadcast but by Spark's
+    own limit of size, and a key that most molecules have is split as any skewed one.
     """
     needs = needs.where(F.col("family").isin(*families))
     index = index.where(F.col("family").isin(*families))
-    words = index.where("family <> 'count'").select("family", "key").distinct()
-    wanted = needs.where("family <> 'count'").select("query_id", "family", F.col("key").alias("pattern"), "need")
-    fits = words.join(F.broadcast(wanted), "family").where("rlike(key, pattern)").select("query_id", "family", "key", "pattern", "need")
-    exact = needs.where("family = 'count'").select("query_id", "family", "key", F.col("key").alias("pattern"), "need")
-    held = index.join(exact.union(fits), ["family", "key"]).groupBy("query_id", "mol_id", "family", "pattern", "need").agg(F.sum("n").alias("n")).where("n >= need")
+    words = (dictionary(index) if words is None else words.where(F.col("family").isin(*families))).select("family", "key")
+    wanted = needs.select("family", F.col("key").alias("pattern")).distinct()
+    shapes = words.where("family <> 'count'").join(wanted.where("family <> 'count'"), "family").where("rlike(key, pattern)")
+    facts = wanted.where("family = 'count'").select("family", F.col("pattern").alias("key"), "pattern")
+    fits = written(shapes.select("family", "key", "pattern").union(facts), "fits")
+    held = index.join(fits, ["family", "key"]).groupBy("mol_id", "family", "pattern").agg(F.sum("n").alias("n"))
+    met = held.join(needs.select("query_id", "family", F.col("key").alias("pattern"), "need"), ["family", "pattern"]).where("n >= need")
     total = needs.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return held.groupBy("query_id", "mol_id").agg(F.count(F.lit(1)).alias("met")).join(F.broadcast(total), "query_id").where("met = total").select("query_id", "mol_id")
+    return met.groupBy("query_id", "mol_id").agg(F.count(F.lit(1)).alias("met")).join(total, "query_id").where("met = total").select("query_id", "mol_id")
+
+
+def candidate_counts(index: DataFrame, needs: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """(query_id, n) for every pattern of needs, 0 too."""
+    found = candidates(index, needs, families).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    return needs.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("found", F.lit(0)).alias("n"))
 
 
 def may_match(index: DataFrame, needs: DataFrame) -> DataFrame:
@@ -171,24 +314,62 @@ def may_match(index: DataFrame, needs: DataFrame) -> DataFrame:
     return candidates(index, needs, ("count",))
 
 
-def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
+def exact(packed: DataFrame, found: DataFrame, patterns: list[tuple[int, Pattern]]) -> DataFrame:
+    """(query_id, mol_id) of those candidates that match: each molecule is read once, with the list of patterns it is a candidate of."""
+    lists = found.groupBy("mol_id").agg(F.collect_list("query_id").alias("chosen"))
+    return by_batch(packed.join(lists, "mol_id"), patterns, "exists", "chosen").select("query_id", "mol_id")
+
+
+def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, Pattern]]) -> DataFrame:
     """(query_id, mol_id) of exact matches: each pattern is matched with its candidates only."""
-    spark = index.sparkSession
-    found = candidates(index, requirement_table(spark, patterns)).join(corpus.molecules, "mol_id")
-    named = found.join(F.broadcast(spark.createDataFrame(patterns, "query_id long, smarts string")), "query_id")
-    return named.where(smiles_match("smiles", "smarts")).select("query_id", "mol_id")
+    return exact(corpus.packed, candidates(index, requirement_table(index.sparkSession, patterns)), patterns)
 
 
 def statistics(index: DataFrame) -> DataFrame:
-    """(family, keys, postings, total, most): how many distinct keys and index rows a family has."""
-    return index.groupBy("family").agg(F.count_distinct("key").alias("keys"), F.count(F.lit(1)).alias("postings"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    """(family, keys, postings, total, most, atom_labels, bond_labels): of each family the distinct keys, index rows, features, and the labels its keys are made of;
+    the family count, whose most frequent key stands once for each molecule, has no labels."""
+    words = dictionary(index)
+    every = F.filter(F.split("key", "-"), lambda x: x != "")
+    labels = F.when(F.col("family") == "star3", F.concat(F.slice(every, 1, 1), F.flatten(F.transform(F.slice(every, 2, 3), lambda x: F.array(F.substring(x, 1, 2), F.substring(x, 3, 99)))))).otherwise(every)
+    spelled = words.where("family <> 'count'").select("family", F.explode(labels).alias("label")).distinct()
+    made = spelled.groupBy("family").agg(F.count_if(F.col("label").rlike("^[0-9]")).alias("atom_labels"), F.count_if(~F.col("label").rlike("^[0-9]")).alias("bond_labels"))
+    sums = words.groupBy("family").agg(F.count(F.lit(1)).alias("keys"), F.sum("molecules").alias("postings"), F.sum("total").alias("total"), F.max("most").alias("most"))
+    return sums.join(made, "family", "left").select("family", "keys", "postings", "total", "most", F.coalesce("atom_labels", F.lit(0)).alias("atom_labels"), F.coalesce("bond_labels", F.lit(0)).alias("bond_labels"))
+
+
+def requirement_statistics(needs: DataFrame) -> DataFrame:
+    """(query_id, family, features, required): how many different features a pattern needs, and how many in all."""
+    return needs.groupBy("query_id", "family").agg(F.count(F.lit(1)).alias("features"), F.sum("need").alias("required"))
 
 
 def mine(index: DataFrame, least: int = 4, top: int | None = None) -> DataFrame:
     """(family, key, support): paths and stars that stand in `least` molecules or more, the most supported first within their family."""
-    found = index.where("family <> 'count'").groupBy("family", "key").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+    found = dictionary(index.where("family <> 'count'")).select("family", "key", F.col("molecules").alias("support")).where(F.col("support") >= least)
     if top is None:
         return found
     place = Window.partitionBy("family").orderBy(F.desc("support"), "key")
     return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).drop("place")
 
+
+def key_smarts(family: str | F.Column = "family", key: str | F.Column = "key") -> F.Column:
+    """A feature key as a pattern that matches where the feature stands."""
+    family, key = (F.col(x) if isinstance(x, str) else x for x in (family, key))
+    parts = F.split(key, "-")
+
+    def atom(x: F.Column) -> F.Column:
+        found = [F.regexp_extract(x, r"^(\d+)([aA])d(\d+)h(\d+)$", i) for i in range(1, 5)]
+        return F.concat(F.lit("["), F.when(found[0] == "0", F.lit("*")).otherwise(F.concat(F.lit("#"), found[0], F.lit(";"), found[1])), F.lit(";D"), found[2], F.lit(";H"), found[3], F.lit("]"))
+
+    def bond(x: F.Column) -> F.Column:
+        kind = F.substring(x, 1, 1)
+        sign = F.when(kind == "S", "-").when(kind == "D", "=").when(kind == "T", "#").when(kind == "A", ":").otherwise("~")
+        return F.concat(sign, F.when(F.substring(x, 2, 1) == "@", ";@").otherwise(";!@"))
+
+    chain = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, atom(x)).otherwise(bond(x))), "")
+    arms = F.transform(F.slice(parts, 2, 3), lambda x: F.concat(F.lit("("), bond(F.substring(x, 1, 2)), atom(F.substring(x, 3, 99)), F.lit(")")))
+    return F.when(family == "star3", F.concat(atom(F.get(parts, 0)), F.array_join(arms, ""))).otherwise(chain)
+
+
+def mined_patterns(index: DataFrame, least: int = 4, top: int | None = None) -> DataFrame:
+    """(family, smarts, support) of `mine`'s features as patterns; a pattern matches its support of molecules or more, as it allows further bonds."""
+    return mine(index, least, top).select("family", key_smarts().alias("smarts"), "support")

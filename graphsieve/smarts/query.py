@@ -129,7 +129,7 @@ class _Bracket:
         if not m:
             return None
         if int(m[0]) > 65535:
-            raise self.fail()
+            raise self.fail("unsupported_atom_primitive")
         self.at = m.end()
         return int(m[0])
 
@@ -138,15 +138,14 @@ class _Bracket:
         if self.peek() != "{":
             n = self.number()
             return None if n is None else (n, n)
-        m = re.compile(r"\{(\d*)(-?)(\d*)\}").match(self.text, self.at)
-        if not m or not (m[1] or m[3]):
-            raise self.fail()
-        low, high = int(m[1]) if m[1] else None, int(m[3]) if m[3] else None
-        if not m[2]:
-            high = low
-        if low is not None and high is not None and low > high:
-            raise self.fail()
-        self.at = m.end()
+        self.at += 1
+        low = self.number()
+        ranged = self.peek() == "-"
+        self.at += ranged
+        high = self.number() if ranged else low
+        if self.peek() != "}" or low is None and high is None or None not in (low, high) and low > high:
+            raise SmartsError("unsupported_atom_primitive", self.at)
+        self.at += 1
         return low, high
 
     def primitive(self, first: bool) -> tuple:

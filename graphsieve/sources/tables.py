@@ -14,9 +14,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from graphsieve.chem.perception import Molecule, prepare
-from graphsieve.chem.smiles import SmilesError
+from graphsieve.chem.perception import Molecule, perceive, prepare
+from graphsieve.chem.smiles import Atom, Bond, Graph, SmilesError
 from graphsieve.plans.columnar import ATOM_TYPES, BOND_TYPES, pack
 from graphsieve.workspace import written
 
@@ -53,14 +54,18 @@ def _prepared(texts: list[str | None]) -> pa.RecordBatch:
         except SmilesError as e:
             molecules.append(None)
             errors.append(("invalid_target_smiles", e.start, e.end))
+    columns = [pa.array(texts, pa.string()), *(pa.array([e[i] for e in errors], pa.string() if i == 0 else pa.int32()) for i in range(3))]
+    return pa.RecordBatch.from_arrays([*columns, *_columns(molecules)], ["smiles", "error", "error_start", "error_end", "atoms", "bonds", *PACKED])
+
+
+def _columns(molecules: list[Molecule | None]) -> list[pa.Array]:
+    """Lists of atoms and of bonds, and the packed columns, of each molecule."""
     known = [m for m in molecules if m is not None]
     atoms = {k: [v for m in known for v in getattr(m, k)] for k in ATOM_FIELDS} | {"atom_id": [i for m in known for i in range(len(m))]}
     bonds = {k: [getattr(x, k) for m in known for x in m.graph.bonds] for k in "ab"} | {"bond_id": [i for m in known for i in range(len(m.label))], "label": [x for m in known for x in m.label], "in_ring": [x for m in known for x in m.bond_ring]}
     packed = [pack(m) if m is not None else {} for m in molecules]
-    columns = [pa.array(texts, pa.string()), *(pa.array([e[i] for e in errors], pa.string() if i == 0 else pa.int32()) for i in range(3))]
-    columns += [_lists([len(m) if m else 0 for m in molecules], _ATOM, atoms), _lists([len(m.label) if m else 0 for m in molecules], _BOND, bonds)]
-    columns += [pa.array([p.get(k) for p in packed], pa.binary()) for k in PACKED]
-    return pa.RecordBatch.from_arrays(columns, ["smiles", "error", "error_start", "error_end", "atoms", "bonds", *PACKED])
+    lists = [_lists([len(m) if m else 0 for m in molecules], _ATOM, atoms), _lists([len(m.label) if m else 0 for m in molecules], _BOND, bonds)]
+    return lists + [pa.array([p.get(k) for p in packed], pa.binary()) for k in PACKED]
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +112,7 @@ class Corpus:
 
         with ThreadPoolExecutor(len(tables)) as pool:
             list(pool.map(one, tables))
-        about = [(json.dumps({"format_version": FORMAT_VERSION, "shards": shards, "tables": sorted(tables)}),)]
+        about = [(json.dumps({"format_version": FORMAT_VERSION, "tables": {n: tables[n].schema.json() for n in tables}, "shards": shards}),)]
         spark.createDataFrame(about, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
@@ -120,7 +125,8 @@ class Corpus:
         def table(name: str) -> DataFrame | None:
             if name not in about["tables"]:
                 return None
-            df = spark.read.parquet(f"{path}/{name}")
+            schema = StructType.fromJson(json.loads(about["tables"][name]))  # a table without rows has no files to tell
+            df = spark.read.schema(schema.add("shard_id", IntegerType()) if about["shards"] else schema).parquet(f"{path}/{name}")
             return (df if shards is None else df.where(F.col("shard_id").isin(shards))).drop("shard_id")
 
         return cls(*(table(n) for n in ("molecules", "atoms", "bonds", "errors", "packed")))
@@ -153,6 +159,42 @@ def from_graphs(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFram
     return judged.where("error IS NULL").drop("error"), judged.where("error IS NOT NULL")
 
 
+_GRAPH_ATOM = {"atom_id": "int", "z": "int", "aromatic": "boolean", "isotope": "int", "charge": "int", "hydrogens": "int"}
+
+
+def _perceived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            rows = batch.slice(start, 1000)
+            molecules = []
+            for atoms, bonds in zip(rows.column("vertices").to_pylist(), rows.column("edges").to_pylist(), strict=True):
+                atoms = sorted(atoms, key=lambda x: x["atom_id"])
+                place = {x["atom_id"]: i for i, x in enumerate(atoms)}
+                graph = Graph([Atom(x["z"], bool(x["aromatic"]), x["isotope"], x["charge"] or 0, x["hydrogens"]) for x in atoms])
+                graph.bonds = [Bond(place[x["a"]], place[x["b"]], x["label"]) for x in sorted(bonds or [], key=lambda x: (x["a"], x["b"]))]
+                graph.order = [[w for w, _ in near] for near in graph.neighbours()]
+                molecules.append(perceive(graph))
+            yield pa.RecordBatch.from_arrays([rows.column("mol_id"), *_columns(molecules)], ["mol_id", "atoms", "bonds", *PACKED])
+
+
+def corpus_of_graphs(atoms: DataFrame, bonds: DataFrame) -> Corpus:
+    """A corpus of generic graphs: atoms (mol_id, atom_id, and as far as there are z, aromatic, isotope, charge, hydrogens), bonds (mol_id, a, b, label).
+
+    Absent z make atoms without an element, which only wildcards and topology match; absent hydrogens go by valence. atom_id is numbered anew from 0 in its
+    order. Graphs with a bad bond (see from_graphs) are in errors only.
+    """
+    good, bad = from_graphs(atoms, bonds)
+    errors = bad.groupBy("mol_id").agg(F.min("error").alias("error")).select("mol_id", F.lit(None).cast("string").alias("smiles"), "error", F.lit(None).cast("int").alias("error_start"), F.lit(None).cast("int").alias("error_end"))
+    vertex = F.struct(*[(F.col(k) if k in atoms.columns else F.lit(None)).cast(v).alias(k) for k, v in _GRAPH_ATOM.items()])
+    vertices = atoms.select("mol_id", vertex.alias("v")).distinct().groupBy("mol_id").agg(F.collect_list("v").alias("vertices"))
+    edges = good.groupBy("mol_id").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "label")).alias("edges"))
+    whole = vertices.join(edges, "mol_id", "left").join(errors, "mol_id", "left_anti").select(F.col("mol_id").cast("long").alias("mol_id"), "vertices", "edges")
+    prepared = written(whole.mapInArrow(_perceived, "mol_id long" + PREPARED[PREPARED.index(", atoms") :]), "graphs")
+    exploded = [prepared.select("mol_id", F.explode(c).alias("x")).select("mol_id", "x.*") for c in ("atoms", "bonds")]
+    empty = F.lit(None).cast("string").alias("smiles")
+    return Corpus(prepared.select("mol_id", empty), *exploded, errors, prepared.select("mol_id", empty, *PACKED))
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """One pattern a line, as (query_id, smarts); empty lines and those that begin with # are left out."""
     lines = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(value, '#')")
