@@ -10,8 +10,9 @@ links are confirmed on the full sets and joined by union-find. In a bucket whose
 finer signatures of all members of other groups are held against each other, block by block, and those pairs that agree in
 enough of PLACES places are confirmed on the full sets as well: the likeliest few first, then all that still lie apart. So a group of copies costs about one comparison a member,
 and no pair in a bucket is left out unless its signatures say that it is far below the threshold. With the default 36
-bands of 5 a pair of similarity 0.8 shares a bucket with a probability of 1 - 6e-7; what is enough lies DEVIATIONS standard deviations of
-a binomial share below the threshold (0.712 for 0.8), which a linked pair of one bucket stays under with a probability of 3e-7 at most.
+bands of 5 a pair of similarity 0.8 shares a bucket with a probability of 1 - 6e-7; the share of equal places has a standard deviation of
+SPREAD, and what is enough lies `deviations` of them below the threshold. With 3.5 a pair at the very threshold of which neither member was joined
+to the other's group by anyone else is left out with a probability of 2e-4; with 5 it is 3e-7, at the price of more pairs to confirm.
 
 A bucket of n members, m of them outside its largest group, makes n * m / BLOCK rows twice, of about 800 bytes each, and n * m comparisons of
 PLACES bytes in tasks of BLOCK * BLOCK at most; where m is 0, as in a group of copies, it makes none.
@@ -39,8 +40,8 @@ from graphsieve.llm.store import Scratch, small_batches, written
 BANDS, ROWS = 36, 5
 #: Places of the finer signature, and members of a bucket that are compared at once.
 PLACES, BLOCK = 512, 1024
-#: How many standard deviations below the threshold a pair's share of equal places may lie and still be confirmed.
-DEVIATIONS = 5
+#: Standard deviation of the share of equal places at 0.8, for texts of up to SHORT shingles and for longer ones.
+SHORT, SPREAD_SHORT, SPREAD_LONG, DEVIATIONS = 500, 0.0132, 0.0177, 3.5
 #: Pairs that a member is first confirmed with in each block; only what these leave apart is held against all likely ones.
 BEST = 4
 
@@ -140,7 +141,7 @@ def _places(width: int, bands: int, rows: int):
                 values, first = sets_of(block.column("text"), width)
                 hashes = band_hashes(superminhash(values, first, bands * rows), bands, rows)
                 fine = (tb.mix(superminhash(values, first, PLACES)) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([x.tobytes() for x in hashes], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], ["doc_id", "bands", "places"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(first)), pa.array([x.tobytes() for x in hashes], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())], ["doc_id", "size", "bands", "places"])
 
     return run
 
@@ -179,14 +180,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, held:
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, deviations: float = DEVIATIONS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id long, text string)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = written(docs.mapInArrow(_sketches(width, bands, rows), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "sketches")
     with Scratch(spark) as held:
-        labels = _labels(docs, sizes, width, percent, bands, rows, held)
+        labels = _labels(docs, sizes, width, percent, bands, rows, deviations, held)
     return (
         sizes.select("doc_id", "n_shingles")
         .join(labels.select(F.col("v").alias("doc_id"), "root"), "doc_id", "left")
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     )
 
 
-def _labels(docs: DataFrame, sketch: DataFrame, width: int, percent: int, bands: int, rows: int, held: Scratch) -> DataFrame:
+def _labels(docs: DataFrame, sketch: DataFrame, width: int, percent: int, bands: int, rows: int, deviations: float, held: Scratch) -> DataFrame:
     """(v, root) for every document that is linked with another."""
     known = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
 
@@ -216,8 +217,8 @@ def _labels(docs: DataFrame, sketch: DataFrame, width: int, percent: int, bands:
     for best in (BEST, None):
         open_ = held.written(_open_buckets(buckets.where("n > 2").select("bucket", "doc_id"), labels, held), "open")
         inside = held.written(open_.select("doc_id").distinct(), "inside")
-        places = docs.join(inside, "doc_id", "left_semi").mapInArrow(_places(width, bands, rows), "doc_id long, bands binary, places binary")
-        likely = held.written(_likely_pairs(open_, places, bands, percent, best), "likely")
+        places = docs.join(inside, "doc_id", "left_semi").mapInArrow(_places(width, bands, rows), "doc_id long, size long, bands binary, places binary")
+        likely = held.written(_likely_pairs(open_, places, bands, percent, deviations, best), "likely")
         if not likely.isEmpty():
             edges = held.written(edges.union(confirmed(likely, docs, width, percent, held)), "edges")
             labels = components(edges)
@@ -251,7 +252,7 @@ def _open_buckets(entries: DataFrame, labels: DataFrame, scratch: Scratch) -> Da
     return held.join(scratch.written(several.select("bucket", F.col("largest.root").alias("main"), "n", (F.col("n") - F.col("largest.size")).alias("minor")), "several"), "bucket")
 
 
-def _likely_pairs(open_: DataFrame, places: DataFrame, bands: int, percent: int, best: int | None) -> DataFrame:
+def _likely_pairs(open_: DataFrame, places: DataFrame, bands: int, percent: int, deviations: float, best: int | None) -> DataFrame:
     """Pairs (a, b) from other groups of a bucket whose signatures agree in enough places; with `best`, only so many of the likeliest for each member of a block.
 
     Members outside a bucket's largest group are held against all its members, block against block of about BLOCK members,
@@ -259,18 +260,17 @@ def _likely_pairs(open_: DataFrame, places: DataFrame, bands: int, percent: int,
     """
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1))
     rows = open_.join(places, "doc_id").withColumn("j", F.pmod(F.xxhash64("doc_id"), blocks("n"))).withColumn("k", F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks("minor")))
-    column = ["bucket", "k", "j", "doc_id", "root", "bands", "places", "probe"]
+    column = ["bucket", "k", "j", "doc_id", "root", "size", "bands", "places", "probe"]
     held = rows.withColumn("k", F.explode(F.sequence(F.lit(0), blocks("minor") - 1))).withColumn("probe", F.lit(False))
     probes = rows.where("root <> main").withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1))).withColumn("probe", F.lit(True))
-    return held.select(column).union(probes.select(column)).groupBy("bucket", "k", "j").applyInArrow(_compare(bands, percent, best), "a long, b long").distinct()
+    return held.select(column).union(probes.select(column)).groupBy("bucket", "k", "j").applyInArrow(_compare(bands, percent, deviations, best), "a long, b long").distinct()
 
 
-def _compare(bands: int, percent: int, best: int | None):
-    share = percent / 100
-    enough = PLACES * (share - DEVIATIONS * (share * (1 - share) / PLACES) ** 0.5)
+def _compare(bands: int, percent: int, deviations: float, best: int | None):
+    short, long_ = (PLACES * (percent / 100 - deviations * x) for x in (SPREAD_SHORT, SPREAD_LONG))
 
     def run(table: pa.Table) -> pa.Table:
-        ids, roots = (table.column(c).to_numpy() for c in ("doc_id", "root"))
+        ids, roots, size = (table.column(c).to_numpy() for c in ("doc_id", "root", "size"))
         probe = table.column("probe").to_numpy(zero_copy_only=False)
         bucket = np.array(table.column("bucket")[0].as_py(), np.int64).view(np.uint64)
         places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8).reshape(-1, PLACES)
@@ -282,7 +282,7 @@ def _compare(bands: int, percent: int, best: int | None):
             other = y[roots[y] != roots[i]]
             other = other[~(earlier[other] == earlier[i]).any(axis=1)]
             equal = (places[other] == places[i]).sum(axis=1)
-            near = np.flatnonzero(equal >= enough)
+            near = np.flatnonzero(equal >= np.where(np.minimum(size[other], size[i]) <= SHORT, short, long_))
             if best and len(near) > best:
                 near = near[np.argsort(-equal[near], kind="stable")[:best]]
             near = other[near]
