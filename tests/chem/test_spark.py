@@ -141,7 +141,7 @@ def test_index_shards(spark, corpus, tmp_path):
     assert sorted(map(tuple, store.hits(patterns).collect())) == exact == sorted(tuple(r) for p in parts for r in p.hits(patterns).collect())
     with pytest.raises(ValueError, match="no shards"):
         index_store.read(spark, path, [7])
-    store.shards.withColumn("first", store.shards.first - 100).write.parquet(str(tmp_path / "bad" / "shards"))
+    store.shards.withColumn("first", store.shards["first"] - 100).write.parquet(str(tmp_path / "bad" / "shards"))
     with pytest.raises(ValueError, match="overlap"):
         index_store.read(spark, str(tmp_path / "bad"))
 
