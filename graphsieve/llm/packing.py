@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphsieve.llm import textblocks as tb
 from graphsieve.llm.store import small_batches, written
 
 CAPACITY = 2048
@@ -34,64 +36,91 @@ WINDOW_TOKENS = 1_000_000
 TAIL_TOKENS = 8_000_000
 END_ID = 1
 CACHED_WORDS = 400_000
+#: Of texts that are encoded together.
+BLOCK_BYTES = 8 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _ASCII_WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-_ODD_SPACES = re.compile(r"[\x1c-\x1f]")
-#: ASCII but for the apostrophe, and Latin letters whose lower case is one letter; and how the tokenizer cuts such words.
-_SIMPLE = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+#: ASCII but for the apostrophe, Latin letters whose lower case is one letter, and white space; and how the tokenizer cuts such texts.
+_SIMPLE = re.compile(r"[ -&(-~\t\n\r\x0b\x0c\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*").fullmatch
+_SIGNS = r"[0-9]|[!-/:-@\[-`{-~]+"
 _PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
 
 
-class WordEncoder(dict):
-    """Ids of white-space separated words as little-endian 32-bit numbers.
+class Encoder:
+    """Ids of texts as little-endian 32-bit numbers, without special tokens.
 
-    The tokenizer drops white space and nothing in it looks across white space, so the ids of a text are those of its
-    words in order; words are encoded once and remembered. Words of simple letters, without apostrophes or marks of
-    special tokens, are cut into the tokenizer's pre-tokens here, which are remembered too; others go to it whole.
+    The tokenizer drops white space and cuts a text into letters, digits and signs, whose ids do not depend on one another. Texts of simple
+    letters, without apostrophes or marks of special tokens, are cut here, and the parts' ids are remembered; of other texts the words are
+    looked at one by one, and those that are not simple go to the tokenizer whole.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
+        self.parts = _Remembered(self._part)
+        self.words = _Remembered(self._word)
         self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            shown = part if part.isascii() else self.bytes_as_text(part)[0][0]
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-            if len(self.parts) >= CACHED_WORDS:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
-
-    def __missing__(self, word: str) -> bytes:
+
+    def _part(self, part: str) -> bytes:
+        if not part:
+            return b""
+        shown = part if part.isascii() else self.bytes_as_text(part)[0][0]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         if _SIMPLE(word) and "<|" not in word:
-            ids = b"".join(map(self.part, _PARTS(word.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+            return b"".join(map(self.parts.__getitem__, _PARTS(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = text.split() if text.isascii() and not _ODD_SPACES.search(text) else _ASCII_WORDS(text)
-        return b"".join(map(self.__getitem__, words))
+        if _SIMPLE(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, _PARTS(text.lower())))
+        return b"".join(map(self.words.__getitem__, _ASCII_WORDS(text)))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The same of many texts: simple ones are cut together, and each distinct part of them is looked at once."""
+        given = texts.to_pylist()
+        simple = [bool(t and _SIMPLE(t) and "<|" not in t) for t in given]
+        out = [b"" if s else self.encode(t) for s, t in zip(simple, given, strict=True)]
+        chosen = pc.utf8_lower(texts.filter(pa.array(simple, pa.bool_())))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(chosen, _SIGNS, r" \0 "))
+        parts = cut.flatten().dictionary_encode()
+        ids = pa.array([self.parts[p] for p in parts.dictionary.to_pylist()], pa.binary()).take(parts.indices)
+        _, where, data = ids.buffers()
+        if data is None:
+            return out
+        ends = np.frombuffer(where, np.int32, len(ids) + 1)[cut.offsets.to_numpy()]
+        data = memoryview(data)
+        for at, a, b in zip(np.flatnonzero(simple).tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[at] = data[a:b].tobytes()
+        return out
+
+
+class _Remembered(dict):
+    """Values by key, made once; of CACHED_WORDS keys at most, after which it begins anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[key] = made
+        return made
 
 
 @functools.cache
-def encoder_of(file: str) -> WordEncoder:
+def encoder_of(file: str) -> Encoder:
     """One for each Python worker, which later tasks use again."""
-    return WordEncoder(file)
+    return Encoder(file)
 
 
 def assign(lengths: list[int], capacities: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
@@ -176,11 +205,11 @@ def _pack(file: str, capacity: int, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = encoder_of(file), _Packer(capacity, _base(0))
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoder.encode(text.as_py()) + end
-                packer.add(doc_id, 0, ids, len(ids) // 4)
-                if packer.total >= window:
-                    yield from packer.flush()
+            for block in tb.blocks(batch, most=BLOCK_BYTES):
+                for doc_id, ids in zip(block.column("doc_id").to_pylist(), encoder.encode_all(block.column("text")), strict=True):
+                    packer.add(doc_id, 0, ids + end, len(ids) // 4 + 1)
+                    if packer.total >= window:
+                        yield from packer.flush()
         yield from packer.flush()
         yield from packer.tail()
 
@@ -206,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, window:
 
     tokenizer_file must be at that path on every executor.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2048)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(text.mapInArrow(_pack(tokenizer_file, capacity, window, end_id), SCHEMA), "pieces")
     done = pieces.where("sequence_id IS NOT NULL")

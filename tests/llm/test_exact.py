@@ -329,12 +329,16 @@ def test_packing(spark, docs, awkward, empty):
 
 
 def test_word_encoder():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     texts = ["it's DON'T 'tis we'll", "<|endoftext|> a<|startoftext|>b <| x", "ß ÀÉ İstanbul ıx ſt Œuvre ªº µ ²³ ½ a_b__c 1234 é1", " x y\x1cz \x85w", "Ως ΣΑΣ 日本語 مرحبا 한국어", "a\x00b \x7f", "", "x" * 5000, "ǅ ŉ Ⱥ ﬁ Å"]
     tokenizer, encoder = Tokenizer.from_file(queries.TOKENIZER), packing.encoder_of(queries.TOKENIZER)
+    texts += ["Größe, ÆTHER & Łódź_1-2: 100% (x) [y] {z} `~^\\ ", " ", "\n.\n", "ÿŸſ"]
     for t in texts:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    for given in ([None, *texts, None], texts[3:5], ["plain words"], []):
+        assert encoder.encode_all(pa.array(["", *given], pa.string()).slice(1)) == [encoder.encode(t) for t in given]
 
 
 def test_packing_digest(spark):
