@@ -20,9 +20,12 @@ import pyarrow as pa
 from graphsieve.chem.smiles import ANY, AROMATIC, DOUBLE, DOWN, SINGLE, TRIPLE, UP
 from graphsieve.plans import kernel
 from graphsieve.plans.kernel import Matcher, bond_states
+from graphsieve.smarts import edit
 from graphsieve.smarts.query import RING_KINDS, to_smarts
 
 MOST_ROWS = 1 << 17
+#: Atoms of a part from which its existence is looked for from one atom of each molecule first.
+WAVES_FROM = 4
 LABELS = (SINGLE, DOUBLE, TRIPLE, AROMATIC, UP, DOWN, ANY)
 #: Types of the packed columns; an atom has so many values of each as COPIES says.
 ATOM_TYPES = {
@@ -34,18 +37,26 @@ COPIES = {"around": 4, "sides": 3}
 _TURNS = {"@": 1, "@TH1": 1, "@@": 2, "@TH2": 2}
 
 
-def pack(m) -> dict[str, bytes]:
-    """The packed columns of one molecule: atom_* and bond_*; numbers that are None are -1, an isotope 0."""
-    atoms = {k: getattr(m, k) for k in ATOM_TYPES if k not in ("chiral", "around")}
-    atoms["z"] = [-1 if z is None else z for z in m.z]
-    atoms["isotope"] = [x or 0 for x in m.isotope]
-    atoms["chiral"] = [_TURNS.get(x.chiral, 0) for x in m.graph.atoms]
-    around = [o if len(o) == 4 else [*o, -1] if len(o) == 3 else [-2] * 4 for o in m.graph.order]
-    atoms["around"] = [v for o in around for v in o]
-    bonds = {"a": [b.a for b in m.graph.bonds], "b": [b.b for b in m.graph.bonds], "state": [2 * LABELS.index(x) + ring for x, ring in zip(m.label, m.bond_ring, strict=True)]}
-    bonds["sides"] = [v for s in m.stereo for v in ((-1, -1, -1) if s is None else (s[0], s[1], int(s[2])))]
-    out = {f"atom_{k}": np.array(v, ATOM_TYPES[k]).tobytes() for k, v in atoms.items()}
-    return out | {f"bond_{k}": np.array(v, BOND_TYPES[k]).tobytes() for k, v in bonds.items()}
+def packed(molecules: list) -> dict[str, pa.Array]:
+    """The packed columns of molecules, atom_* and bond_*, one binary value each; numbers that are None are -1, an isotope 0. A molecule that is None has no atoms."""
+    known = [m for m in molecules if m is not None]
+    atoms = {k: [v for m in known for v in getattr(m, k)] for k in ATOM_TYPES if k not in ("z", "isotope", "chiral", "around")}
+    atoms["z"] = [-1 if z is None else z for m in known for z in m.z]
+    atoms["isotope"] = [x or 0 for m in known for x in m.isotope]
+    atoms["chiral"] = [_TURNS.get(x.chiral, 0) for m in known for x in m.graph.atoms]
+    atoms["around"] = [v for m in known for o in m.graph.order for v in (o if len(o) == 4 else [*o, -1] if len(o) == 3 else (-2, -2, -2, -2))]
+    state = {(label, ring): 2 * i + ring for i, label in enumerate(LABELS) for ring in (0, 1)}
+    bonds = {k: [getattr(x, k) for m in known for x in m.graph.bonds] for k in "ab"}
+    bonds["state"] = [state[label, int(ring)] for m in known for label, ring in zip(m.label, m.bond_ring, strict=True)]
+    bonds["sides"] = [v for m in known for s in m.stereo for v in ((-1, -1, -1) if s is None else (s[0], s[1], int(s[2])))]
+    out = {}
+    for prefix, columns, types, sizes in (("atom", atoms, ATOM_TYPES, [len(m) if m is not None else 0 for m in molecules]), ("bond", bonds, BOND_TYPES, [len(m.label) if m is not None else 0 for m in molecules])):
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        for name, kind in types.items():
+            data = np.array(columns[name], kind)
+            where = (ends * (COPIES.get(name, 1) * data.itemsize)).astype(np.int32)
+            out[f"{prefix}_{name}"] = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(where), pa.py_buffer(data)])
+    return out
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +127,12 @@ class Program:
         for bond in self.query.bonds:
             states = bond_states(bond.expr)
             self.accepts.append(np.array([(label, bool(ring)) in states for label in LABELS for ring in (0, 1)]))
+        # What lies on a cycle of the pattern lies in a ring of the molecule.
+        cyclic = [b for i, b in enumerate(self.query.bonds) if edit.is_cycle_edge(self.query, i)]
+        self.in_ring = {v for b in cyclic for v in (b.a, b.b)}
+        for i, bond in enumerate(self.query.bonds):
+            if any(bond is b for b in cyclic):
+                self.accepts[i] &= np.arange(2 * len(LABELS)) % 2 == 1
         self.names = frozenset(_fields(self))
 
     def mask(self, batch: Batch, node: tuple) -> np.ndarray:
@@ -155,6 +172,8 @@ class Program:
         for q, atom in enumerate(self.query.atoms):
             links = len(self.matcher.near[q])
             fits = self.mask(batch, atom.expr) & batch.shown
+            if q in self.in_ring:
+                fits &= batch.field("in_ring") == 1
             out.append(fits & (batch.field("degree") >= links) if links > 1 else fits)
         return out
 
@@ -169,13 +188,20 @@ class Program:
         for k, q in enumerate(order[1:], 1):
             links = [(column[w], i) for w, i in self.matcher.near[q] if column.get(w, k) < k]
             steps.append((q, links, [p for p in range(k) if p not in {c for c, _ in links}]))
-        todo = [np.flatnonzero(masks[order[0]]).reshape(-1, 1)]
+        start = np.flatnonzero(masks[order[0]])
+        todo = [start.reshape(-1, 1)]
+        if done is not None and not anchored and len(order) >= WAVES_FROM and len(start):
+            # Each molecule's first atom goes first, as where it leads to an embedding the others need not be tried.
+            mol = batch.mol[start]
+            new = np.flatnonzero(np.concatenate([[True], mol[1:] != mol[:-1]]))
+            place = np.arange(len(start)) - np.repeat(new, np.diff(np.append(new, len(start))))
+            todo = [start[(place >= a) & (place < b)].reshape(-1, 1) for a, b in ((3, len(start)), (1, 3), (0, 1))]
         while todo:
             rows = todo.pop()
             if len(rows) > MOST_ROWS:
                 todo += [rows[a : a + MOST_ROWS] for a in range(0, len(rows), MOST_ROWS)][::-1]
                 continue
-            if done is not None and rows.shape[1] > 1:
+            if done is not None:
                 rows = rows[~done[rows[:, 0] if anchored else batch.mol[rows[:, 0]]]]
             if not len(rows):
                 continue
@@ -271,7 +297,19 @@ class Program:
             rows = list(self.tables(batch, k, [x & alive[batch.mol] for x in masks]))
             found[k] = np.concatenate(rows) if rows else np.zeros((0, len(m.parts[k])), np.int64)
             alive &= np.bincount(batch.mol[found[k][:, 0]], minlength=batch.size) > 0
-        return alive, found
+        return alive & self._apart(batch, found), found
+
+    def _apart(self, batch: Batch, found: list[np.ndarray]) -> np.ndarray:
+        """Molecules with as many components that hold parts of a component group as there are such groups."""
+        groups = [g for g in self.matcher.groups if g is not None]
+        if len(set(groups)) < 2:
+            return np.ones(batch.size, bool)
+        atoms = np.concatenate([table[:, 0] for table, g in zip(found, self.matcher.groups, strict=True) if g is not None])
+        component = batch.field("component").astype(np.int64)
+        wide = int(component.max()) + 1 if len(component) else 1
+        seen = np.zeros(batch.size * wide, bool)
+        seen[batch.mol[atoms] * wide + component[atoms]] = True
+        return seen.reshape(batch.size, wide).sum(axis=1) >= len(set(groups))
 
     def _settled(self, batch: Batch, alive: np.ndarray, found: list[np.ndarray]) -> Iterator[tuple[int, list[list[list[int]]]]]:
         """(molecule, embeddings of each part) one by one, with the molecule's own atom numbers as the kernel has them."""
@@ -302,9 +340,12 @@ class Program:
             if groups[k] is not None:
                 for group, where in places:
                     good &= (where[mol] == place) == (group == groups[k])
-            which, at = np.unique(mol[good], return_index=True)
-            rows = np.flatnonzero(good)[at]
-            out &= np.isin(np.arange(batch.size), which)
+            lines = np.flatnonzero(good)
+            rows = lines[np.concatenate([[True], mol[lines[1:]] != mol[lines[:-1]]])] if len(lines) else lines
+            which = mol[rows]
+            there = np.zeros(batch.size, bool)
+            there[which] = True
+            out &= there
             more = np.full((batch.size, table.shape[1]), -1)
             more[which] = table[rows]
             taken = np.concatenate([taken, more], axis=1)
@@ -424,6 +465,8 @@ def _fields(program: Program) -> set[str]:
         out.add("atom_component")
     if program.query.bonds:
         out.add("atom_degree")
+    if program.in_ring:
+        out.add("atom_in_ring")
     if program.matcher.centres:
         out |= {"atom_chiral", "atom_around"}
     if program.matcher.doubles:

@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from graphsieve.chem.perception import Molecule, perceive, prepare
 from graphsieve.chem.smiles import Atom, Bond, Graph, SmilesError
-from graphsieve.plans.columnar import ATOM_TYPES, BOND_TYPES, pack
+from graphsieve.plans.columnar import ATOM_TYPES, BOND_TYPES, packed
 from graphsieve.workspace import written
 
 FORMAT_VERSION = 2
@@ -63,9 +63,9 @@ def _columns(molecules: list[Molecule | None]) -> list[pa.Array]:
     known = [m for m in molecules if m is not None]
     atoms = {k: [v for m in known for v in getattr(m, k)] for k in ATOM_FIELDS} | {"atom_id": [i for m in known for i in range(len(m))]}
     bonds = {k: [getattr(x, k) for m in known for x in m.graph.bonds] for k in "ab"} | {"bond_id": [i for m in known for i in range(len(m.label))], "label": [x for m in known for x in m.label], "in_ring": [x for m in known for x in m.bond_ring]}
-    packed = [pack(m) if m is not None else {} for m in molecules]
     lists = [_lists([len(m) if m else 0 for m in molecules], _ATOM, atoms), _lists([len(m.label) if m else 0 for m in molecules], _BOND, bonds)]
-    return lists + [pa.array([p.get(k) for p in packed], pa.binary()) for k in PACKED]
+    made = packed(molecules)
+    return lists + [made[k] for k in PACKED]
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +140,7 @@ def from_smiles(molecules: DataFrame) -> Corpus:
     atoms = joined.select("mol_id", F.explode("atoms").alias("x")).select("mol_id", "x.*")
     bonds = joined.select("mol_id", F.explode("bonds").alias("x")).select("mol_id", "x.*")
     errors = joined.where("error IS NOT NULL").select("mol_id", "smiles", "error", "error_start", "error_end")
-    packed = joined.where("error IS NULL").select("mol_id", "smiles", *PACKED)
-    return Corpus(molecules, atoms, bonds, errors, packed)
+    return Corpus(molecules, atoms, bonds, errors, joined.where("error IS NULL").select("mol_id", "smiles", *PACKED))
 
 
 def from_graphs(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
