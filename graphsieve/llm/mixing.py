@@ -6,7 +6,9 @@ hashed out of seed and doc_id; expected counts are exact for any rate, and a run
 seed, doc_id and copy.
 
 Defined cases: a null source counts as the empty one; a null doc_id draws by its text; rows that repeat a doc_id draw alike;
-a source without a target weight gets none; null texts are repeated as they are; an empty table gives no rows.
+a source without a target weight gets none; null, empty and very long texts are repeated as they are; copies with equal keys, as of
+repeated rows, come in any order; columns of docs that are named copy, copies or shuffle_key are kept instead of the operator's, and
+of any other name as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations

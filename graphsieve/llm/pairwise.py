@@ -4,8 +4,9 @@ P(i is preferred to j) = 1 / (1 + exp(-(s_i - s_j))) with s = w . x, so the loss
 differences of preference pairs: a document labelled 1 is preferred to one labelled 0. The cut lies at the quantile of the training
 scores below which the documents labelled 0 would fit; the published score is a logistic curve of s that is `CUT` there.
 
-Defined cases: a null or empty text, or one of white space alone, scores 0; a null doc_id stays null, and is not held out;
-repeated rows get the same score each; other columns are not looked at; an empty table gives no rows. Without labels of both
+Defined cases: a null or empty text, or one of white space alone, scores 0; a very long text is read whole, as a block of its own; a
+null doc_id stays null, and is not held out; repeated rows get the same score each; a score of just 0.3 is predicted 1; of repeated
+labels the greatest counts, and of labelled documents with equal hashes the least doc_id comes first into the sample; other columns are not looked at; an empty table gives no rows. Without labels of both
 kinds there is nothing to prefer, and every text with words scores 1.
 """
 

@@ -6,7 +6,8 @@ the middle between them. For scoring, all trees lie in flat node arrays (feature
 a batch descends one level of every tree with a few array operations.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null doc_id stays null; repeated rows get equal
-results; other columns are not looked at; an empty table gives no rows. Without labels of both kinds the forest is empty and passes
+results; a very long text is read whole, as a block of its own; of splits with equal gain the first feature and bin is taken, and a
+probability of just VERDICT passes; other columns are not looked at; an empty table gives no rows. Without labels of both kinds the forest is empty and passes
 every text.
 """
 
