@@ -7,12 +7,14 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 BLOCK_BYTES = 1 << 20
 SLICE_BYTES = 1 << 19
 _POSITIONS = 4096
@@ -75,7 +77,7 @@ def texts_of(column: pa.Array) -> Texts:
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of rows whose texts together take `most` bytes, or a single longer text."""
+    """Slices of rows whose texts together take `most` bytes, or a single longer text. After the last one, memory that is free goes back to the system."""
     sizes = np.diff(texts_of(batch.column(column)).offsets)
     start, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
@@ -85,6 +87,14 @@ def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES)
         held += size
     if batch.num_rows > start:
         yield batch.slice(start)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Workers live on between stages, and what they keep would add up with the Java heap's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 class Words(NamedTuple):
