@@ -20,7 +20,8 @@ from graphsieve.plans import joins
 from graphsieve.plans.columnar import Batch, Program
 from graphsieve.plans.kernel import Exceeded, Matcher, until
 from graphsieve.smarts.query import Query, parse, to_smarts
-from graphsieve.sources.tables import Corpus
+from graphsieve.sources.tables import TEXTS, Corpus
+from graphsieve.workspace import spread
 
 Pattern = str | Query
 
@@ -75,7 +76,7 @@ def by_kernel(molecules: DataFrame, patterns: list[tuple[int, Pattern]], shape:
     shape: exists, count, embeddings or coverage; other columns than it asks for are null. With `seconds`, a pair that takes longer is exceeded, and
     its answer null; so is one during which `interrupt`, which the executors call again and again, is true.
     """
-    texts = molecules.select("smiles").where("smiles IS NOT NULL").distinct()
+    texts = spread(molecules.select("smiles").where("smiles IS NOT NULL").distinct(), molecules.count(), TEXTS)
     found = texts.mapInArrow(_answers(_texts(patterns), seconds, shape, interrupt), KERNEL)
     return molecules.select("mol_id", "smiles").join(found, "smiles").drop("smiles")
 

@@ -26,8 +26,10 @@ from graphsieve.plans.kernel import STATES, bond_states
 from graphsieve.smarts import edit
 from graphsieve.smarts.query import Query, parse
 from graphsieve.sources.tables import Corpus
-from graphsieve.workspace import written
+from graphsieve.workspace import spread, written
 
+#: Candidate molecules that one task matches.
+MOLECULES = 50_000
 FAMILIES = ("count", "edge", "path3", "path4", "star3")
 
 
@@ -316,13 +318,13 @@ def may_match(index: DataFrame, needs: DataFrame) -> DataFrame:
 
 def exact(packed: DataFrame, found: DataFrame, patterns: list[tuple[int, Pattern]]) -> DataFrame:
     """(query_id, mol_id) of those candidates that match: each molecule is read once, with the list of patterns it is a candidate of."""
-    lists = found.groupBy("mol_id").agg(F.collect_list("query_id").alias("chosen"))
-    return by_batch(packed.join(lists, "mol_id"), patterns, "exists", "chosen").select("query_id", "mol_id")
+    lists = written(found.groupBy("mol_id").agg(F.collect_list("query_id").alias("chosen")), "chosen")
+    return by_batch(spread(packed.join(lists, "mol_id"), lists.count(), MOLECULES), patterns, "exists", "chosen").select("query_id", "mol_id")
 
 
-def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, Pattern]]) -> DataFrame:
+def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, Pattern]], words: DataFrame | None = None) -> DataFrame:
     """(query_id, mol_id) of exact matches: each pattern is matched with its candidates only."""
-    return exact(corpus.packed, candidates(index, requirement_table(index.sparkSession, patterns)), patterns)
+    return exact(corpus.packed, candidates(index, requirement_table(index.sparkSession, patterns), words=words), patterns)
 
 
 def statistics(index: DataFrame) -> DataFrame:

@@ -19,9 +19,11 @@ from pyspark.sql.types import IntegerType, StructType
 from graphsieve.chem.perception import Molecule, perceive, prepare
 from graphsieve.chem.smiles import Atom, Bond, Graph, SmilesError
 from graphsieve.plans.columnar import ATOM_TYPES, BOND_TYPES, packed
-from graphsieve.workspace import written
+from graphsieve.workspace import spread, written
 
 FORMAT_VERSION = 2
+#: Texts that one task prepares, about half a millisecond each.
+TEXTS = 20_000
 ATOM_FIELDS = {
     "z": "int", "isotope": "int", "aromatic": "boolean", "charge": "int", "degree": "int", "connectivity": "int", "implicit_h": "int", "total_h": "int", "valence": "int",
     "hyb": "int", "hetero": "int", "aliph_hetero": "int", "ring_count": "int", "min_ring": "int", "ring_bonds": "int", "in_ring": "boolean", "component": "int", "hidden_h": "boolean",
@@ -135,7 +137,8 @@ class Corpus:
 def from_smiles(molecules: DataFrame) -> Corpus:
     """molecules: mol_id bigint, smiles string. Distinct texts are prepared now and stored in the shared folder; the tables read them from there."""
     molecules = molecules.select(F.col("mol_id").cast("long").alias("mol_id"), F.col("smiles").cast("string").alias("smiles"))
-    prepared = written(molecules.select("smiles").distinct().mapInArrow(_prepare, PREPARED), "prepared")
+    texts = spread(molecules.select("smiles").distinct(), molecules.count(), TEXTS)
+    prepared = written(texts.mapInArrow(_prepare, PREPARED), "prepared")
     joined = molecules.join(prepared, molecules.smiles.eqNullSafe(prepared.smiles)).drop(prepared.smiles)
     atoms = joined.select("mol_id", F.explode("atoms").alias("x")).select("mol_id", "x.*")
     bonds = joined.select("mol_id", F.explode("bonds").alias("x")).select("mol_id", "x.*")
@@ -188,7 +191,7 @@ def corpus_of_graphs(atoms: DataFrame, bonds: DataFrame) -> Corpus:
     vertices = atoms.select("mol_id", vertex.alias("v")).distinct().groupBy("mol_id").agg(F.collect_list("v").alias("vertices"))
     edges = good.groupBy("mol_id").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "label")).alias("edges"))
     whole = vertices.join(edges, "mol_id", "left").join(errors, "mol_id", "left_anti").select(F.col("mol_id").cast("long").alias("mol_id"), "vertices", "edges")
-    prepared = written(whole.mapInArrow(_perceived, "mol_id long" + PREPARED[PREPARED.index(", atoms") :]), "graphs")
+    prepared = written(spread(whole, whole.count(), TEXTS).mapInArrow(_perceived, "mol_id long" + PREPARED[PREPARED.index(", atoms") :]), "graphs")
     exploded = [prepared.select("mol_id", F.explode(c).alias("x")).select("mol_id", "x.*") for c in ("atoms", "bonds")]
     empty = F.lit(None).cast("string").alias("smiles")
     return Corpus(prepared.select("mol_id", empty), *exploded, errors, prepared.select("mol_id", empty, *PACKED))

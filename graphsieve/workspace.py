@@ -65,3 +65,8 @@ class Scratch:
         self.paths.append(new_path(self.spark, name))
         df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+
+def spread(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df, of about `rows` rows that take long, dealt to a task for each `each` of them, and to one for every core at least; by their bytes alone they would meet in few."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
