@@ -285,20 +285,37 @@ def joined_features(corpus: Corpus) -> DataFrame:
     return rows.groupBy("mol_id", "family", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _fitting(patterns: list[tuple[str, str]]):
+    """Keys with the patterns that they fit. Each pattern is compiled once a task; as a join, it would be for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(family, pattern, re.compile(pattern).search) for family, pattern in patterns]
+        for batch in batches:
+            known: dict[str, list[str]] = {}
+            for family, key in zip(batch.column("family").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                known.setdefault(family, []).append(key)
+            for family, pattern, fits in compiled:
+                if keys := [k for k in known.get(family, ()) if fits(k)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([family] * len(keys)), pa.array(keys), pa.array([pattern] * len(keys))], ["family", "key", "pattern"])
+
+    return run
+
+
 def candidates(index: DataFrame, needs: DataFrame, families: tuple[str, ...] = FAMILIES, words: DataFrame | None = None) -> DataFrame:
     """(query_id, mol_id) of pairs in which the molecule has all that the pattern needs.
 
     What several patterns need alike is looked up once. It is held against words, the dictionary of distinct keys, taken from the index if it is not
-    given; the keys that fit are stored, and only index rows of these keys are joined and summed by molecule. No side is broadcast but by Spark's
+    given; the keys that fit are stored, and only index rows of these keys are joined and summed by molecule. The driver gets the distinct keys of the needs. No side is broadcast but by Spark's
     own limit of size, and a key that most molecules have is split as any skewed one.
     """
     needs = needs.where(F.col("family").isin(*families))
     index = index.where(F.col("family").isin(*families))
     words = (dictionary(index) if words is None else words.where(F.col("family").isin(*families))).select("family", "key")
     wanted = needs.select("family", F.col("key").alias("pattern")).distinct()
-    shapes = words.where("family <> 'count'").join(wanted.where("family <> 'count'"), "family").where("rlike(key, pattern)")
+    patterns = [(r.family, r.pattern) for r in wanted.where("family <> 'count'").collect()]
+    shapes = spread(words.where("family <> 'count'"), 0, 1).mapInArrow(_fitting(patterns), "family string, key string, pattern string")
     facts = wanted.where("family = 'count'").select("family", F.col("pattern").alias("key"), "pattern")
-    fits = written(shapes.select("family", "key", "pattern").union(facts), "fits")
+    fits = written(shapes.union(facts), "fits")
     held = index.join(fits, ["family", "key"]).groupBy("mol_id", "family", "pattern").agg(F.sum("n").alias("n"))
     met = held.join(needs.select("query_id", "family", F.col("key").alias("pattern"), "need"), ["family", "pattern"]).where("n >= need")
     total = needs.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))

@@ -490,7 +490,7 @@ def edit_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, n long, leaves long, branches long, ring_bonds long, chain_bonds long, reached long, valid boolean")
 
 
-ORACLES["edit_analysis"] = """SELECT kind, n, CASE kind WHEN 'chain' THEN 2 WHEN 'star' THEN n - 1 ELSE 0 END AS leaves, CASE WHEN kind = 'star' AND n > 3 THEN 1 ELSE 0 END AS branches,
+ORACLES["edit_analysis"] = """SELECT kind, n, CASE kind WHEN 'chain' THEN 2 WHEN 'star' THEN n - 1 ELSE 0 END AS leaves, CAST(CASE WHEN kind = 'star' AND n > 3 THEN 1 ELSE 0 END AS BIGINT) AS branches,
   CASE kind WHEN 'ring' THEN n ELSE 0 END AS ring_bonds, CASE kind WHEN 'ring' THEN 0 ELSE n - 1 END AS chain_bonds, CASE kind WHEN 'chain' THEN 1 WHEN 'star' THEN n - 1 ELSE n - 1 END AS reached, true AS valid
 FROM range(3, 9) t(n), (VALUES ('chain'), ('star'), ('ring')) k(kind)"""
 
