@@ -397,8 +397,25 @@ class Program:
         """Number of distinct sets of atoms of each molecule."""
         if len(self.query.atoms) == 1 and not self.matcher.centres:
             return np.bincount(batch.mol[self.candidates(batch)[0]], minlength=batch.size)
+        if len(self.query.atoms) == len(self.matcher.parts) == 2:
+            return self._pair_counts(batch, *self.candidates(batch))
         return np.bincount(self.least(batch)[0], minlength=batch.size)
 
+    def _pair_counts(self, batch: Batch, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sets of an atom that fits the first part and another that fits the second; pairs of which both fit both count once."""
+
+        def sets(place: np.ndarray, size: int) -> np.ndarray:
+            first, second, both = (np.bincount(place[x], minlength=size) for x in (a, b, a & b))
+            return first * second - both - both * (both - 1) // 2
+
+        whole, groups = sets(batch.mol, batch.size), self.matcher.groups
+        if None in groups or not batch.atoms:
+            return whole
+        component = batch.field("component").astype(np.int64)
+        wide = int(component.max()) + 1
+        within = sets(batch.mol * wide + component, batch.size * wide).reshape(batch.size, wide).sum(axis=1)
+        return within if groups[0] == groups[1] else whole - within
+
     def coverage(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Whether each molecule has an embedding, and the share of its atoms and bonds that any touches."""
         masks = self.candidates(batch)
