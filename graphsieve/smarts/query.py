@@ -6,13 +6,14 @@ primitive (kind, value). The loosest operator is ; then , then & or nothing, the
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
 from graphsieve.chem.elements import NUMBERS, SYMBOLS
 
 #: Symbols that may stand without brackets, and aromatic ones within.
-BARE = ("Cl", "Br", "Na", "Ca", "Sc", "Co", "As", "Nb", "In", "Sn", "Sb", "Cs", "Ba", "Os", "Pb", "Po", "Ac", "Pa", "Np", "No", "Cn", "B", "C", "N", "O", "P", "S", "F", "I")
+BARE = frozenset(("Cl", "Br", "Na", "Ca", "Sc", "Co", "As", "Nb", "In", "Sn", "Sb", "Cs", "Ba", "Os", "Pb", "Po", "Ac", "Pa", "Np", "No", "Cn", "B", "C", "N", "O", "P", "S", "F", "I"))
 AROMATIC_SYMBOLS = {"b": 5, "c": 6, "n": 7, "o": 8, "p": 15, "s": 16, "as": 33, "se": 34}
 #: Numeric primitives by letter; the first ones mean exactly 1 without a number, RING_KINDS more than 0, ^ needs one.
 NUMERIC = {"D": "degree", "X": "connectivity", "v": "valence", "h": "implicit_h", "z": "hetero", "Z": "aliph_hetero", "R": "ring_count", "r": "min_ring", "x": "ring_bonds", "^": "hyb", "H": "total_h"}
@@ -244,6 +245,14 @@ class _Bracket:
         return "recursive", parse(inner)
 
 
+@functools.lru_cache(50_000)
+def _bracket(text: str) -> tuple[tuple, int | None, bool]:
+    """Expression and atom map of a bracket's text, and whether one hydrogen is asked for. Patterns share most of their brackets; those with patterns inside are
+    read anew each time."""
+    expr, atom_map = _Bracket(text).parse()
+    return expr, atom_map, any(node[0] == "total_h" and node[1] in (None, (1, 1)) and not negated for node, negated in primitives(expr))
+
+
 class _Parser:
     def __init__(self, text: str):
         self.text, self.at, self.q = text, 0, Query()
@@ -381,23 +390,27 @@ class _Parser:
         self.skip()
         if self.at >= len(text):
             raise self.fail()
-        atom_map, bare = None, True
+        atom_map, bare, hydrogen = None, True, False
         if text[self.at] == "[":
-            depth, at = 0, self.at + 1
-            while at < len(text) and (depth or text[at] != "]"):
-                depth += 1 if text.startswith("$(", at) else 1 if depth and text[at] == "(" else -1 if depth and text[at] == ")" else 0
-                at += 2 if text.startswith("$(", at) else 1
-            if at >= len(text):
-                raise SmartsError("unterminated_bracket_atom", self.at)
-            expr, atom_map = _Bracket(text[self.at + 1 : at]).parse()
+            at = text.find("]", self.at)
+            if at < 0 or "$(" in text[self.at : at]:
+                depth, at = 0, self.at + 1
+                while at < len(text) and (depth or text[at] != "]"):
+                    depth += 1 if text.startswith("$(", at) else 1 if depth and text[at] == "(" else -1 if depth and text[at] == ")" else 0
+                    at += 2 if text.startswith("$(", at) else 1
+                if at >= len(text):
+                    raise SmartsError("unterminated_bracket_atom", self.at)
+                expr, atom_map, hydrogen = _bracket.__wrapped__(text[self.at + 1 : at])
+            else:
+                expr, atom_map, hydrogen = _bracket(text[self.at + 1 : at])
             self.at, bare = at + 1, False
         else:
-            for s in BARE:
-                if text.startswith(s, self.at):
-                    expr = ("symbol", (NUMBERS[s], False))
-                    break
+            s = text[self.at : self.at + 2]
+            if s not in BARE:
+                s = s[0]
+            if s in BARE:
+                expr = ("symbol", (NUMBERS[s], False))
             else:
-                s = text[self.at]
                 if s == "*":
                     expr = ("any", None)
                 elif s in "Aa":
@@ -414,7 +427,7 @@ class _Parser:
             self.q.bonds.append(QueryBond(last, now, bond))
             self.q.order[last].append(now)
             self.q.order[now].append(last)
-        if any(kind == "total_h" and value in (None, (1, 1)) and not negated for (kind, value), negated in primitives(expr) if kind == "total_h"):
+        if hydrogen:
             self.q.order[now].append(-1)
         return now
 
