@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -24,6 +24,8 @@ from graphsieve.workspace import spread, written
 FORMAT_VERSION = 2
 #: Texts that one task prepares, about half a millisecond each.
 TEXTS = 20_000
+#: Atoms and bonds of graphs that one task looks up, and graphs with about as many that it prepares.
+ROWS = 200_000
 ATOM_FIELDS = {
     "z": "int", "isotope": "int", "aromatic": "boolean", "charge": "int", "degree": "int", "connectivity": "int", "implicit_h": "int", "total_h": "int", "valence": "int",
     "hyb": "int", "hetero": "int", "aliph_hetero": "int", "ring_count": "int", "min_ring": "int", "ring_bonds": "int", "in_ring": "boolean", "component": "int", "hidden_h": "boolean",
@@ -151,16 +153,23 @@ def from_graphs(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFram
 
     An endpoint that is no atom, a loop, and a second bond between the same atoms are errors.
     """
-    ends = bonds.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b"))
-    ids = atoms.select("mol_id", F.col("atom_id").alias("low"), F.lit(True).alias("has_low")).distinct()
-    other = ids.select("mol_id", F.col("low").alias("high"), F.col("has_low").alias("has_high"))
-    counted = ends.groupBy("mol_id", "low", "high").agg(F.count(F.lit(1)).alias("n"))
-    judged = ends.join(ids, ["mol_id", "low"], "left").join(other, ["mol_id", "high"], "left").join(counted, ["mol_id", "low", "high"])
-    error = F.when(F.col("low") == F.col("high"), "self_loop").when(F.col("has_low").isNull() | F.col("has_high").isNull(), "unknown_atom").when(F.col("n") > 1, "duplicate_bond")
-    judged = judged.withColumn("error", error).select("mol_id", "a", "b", "label", "error")
+    judged = _judged(atoms, bonds, atoms.count() + bonds.count())
     return judged.where("error IS NULL").drop("error"), judged.where("error IS NOT NULL")
 
 
+def _judged(atoms: DataFrame, bonds: DataFrame, rows: int) -> DataFrame:
+    """The bonds with their error. Ends are looked up by sorted joins within shares of ROWS rows: numbers in order take so few bytes
+    in a shuffle that Spark would broadcast millions of them, and the driver hold them."""
+    ends = spread(bonds.select("mol_id", "a", "b", "label", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")), rows, ROWS, "mol_id", "low")
+    ends = ends.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mol_id", "low", "high")))
+    ids = spread(atoms.select("mol_id", F.col("atom_id").alias("low")), rows, ROWS, "mol_id", "low").distinct()
+    found = ends.join(ids.withColumn("has_low", F.lit(True)).hint("merge"), ["mol_id", "low"], "left")
+    other = ids.select("mol_id", F.col("low").alias("high"), F.lit(True).alias("has_high"))
+    found = spread(found, rows, ROWS, "mol_id", "high").join(other.hint("merge"), ["mol_id", "high"], "left")
+    error = F.when(F.col("low") == F.col("high"), "self_loop").when(F.col("has_low").isNull() | F.col("has_high").isNull(), "unknown_atom").when(F.col("n") > 1, "duplicate_bond")
+    return found.withColumn("error", error).select("mol_id", "a", "b", "label", "error")
+
+
 _GRAPH_ATOM = {"atom_id": "int", "z": "int", "aromatic": "boolean", "isotope": "int", "charge": "int", "hydrogens": "int"}
 
 
@@ -185,13 +194,16 @@ def corpus_of_graphs(atoms: DataFrame, bonds: DataFrame) -> Corpus:
     Absent z make atoms without an element, which only wildcards and topology match; absent hydrogens go by valence. atom_id is numbered anew from 0 in its
     order. Graphs with a bad bond (see from_graphs) are in errors only.
     """
-    good, bad = from_graphs(atoms, bonds)
-    errors = bad.groupBy("mol_id").agg(F.min("error").alias("error")).select("mol_id", F.lit(None).cast("string").alias("smiles"), "error", F.lit(None).cast("int").alias("error_start"), F.lit(None).cast("int").alias("error_end"))
+    rows = atoms.count() + bonds.count()
+    judged = written(_judged(atoms, bonds, rows), "judged")
+    good, bad = judged.where("error IS NULL").drop("error"), judged.where("error IS NOT NULL")
+    dealt = lambda df: spread(df, rows, ROWS, "mol_id")
+    errors = dealt(bad.select("mol_id", "error")).groupBy("mol_id").agg(F.min("error").alias("error")).select("mol_id", F.lit(None).cast("string").alias("smiles"), "error", F.lit(None).cast("int").alias("error_start"), F.lit(None).cast("int").alias("error_end"))
     vertex = F.struct(*[(F.col(k) if k in atoms.columns else F.lit(None)).cast(v).alias(k) for k, v in _GRAPH_ATOM.items()])
-    vertices = atoms.select("mol_id", vertex.alias("v")).distinct().groupBy("mol_id").agg(F.collect_list("v").alias("vertices"))
-    edges = good.groupBy("mol_id").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "label")).alias("edges"))
-    whole = vertices.join(edges, "mol_id", "left").join(errors, "mol_id", "left_anti").select(F.col("mol_id").cast("long").alias("mol_id"), "vertices", "edges")
-    prepared = written(spread(whole, whole.count(), TEXTS).mapInArrow(_perceived, "mol_id long" + PREPARED[PREPARED.index(", atoms") :]), "graphs")
+    vertices = dealt(atoms.select("mol_id", vertex.alias("v"))).distinct().groupBy("mol_id").agg(F.collect_list("v").alias("vertices"))
+    edges = dealt(good).groupBy("mol_id").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "label")).alias("edges"))
+    whole = vertices.join(edges.hint("merge"), "mol_id", "left").join(errors.select("mol_id").hint("merge"), "mol_id", "left_anti").select(F.col("mol_id").cast("long").alias("mol_id"), "vertices", "edges")
+    prepared = written(whole.mapInArrow(_perceived, "mol_id long" + PREPARED[PREPARED.index(", atoms") :]), "graphs")
     exploded = [prepared.select("mol_id", F.explode(c).alias("x")).select("mol_id", "x.*") for c in ("atoms", "bonds")]
     empty = F.lit(None).cast("string").alias("smiles")
     return Corpus(prepared.select("mol_id", empty), *exploded, errors, prepared.select("mol_id", empty, *PACKED))

@@ -67,6 +67,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
 
-def spread(df: DataFrame, rows: int, each: int) -> DataFrame:
-    """df, of about `rows` rows that take long, dealt to a task for each `each` of them, and to one for every core at least; by their bytes alone they would meet in few."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+def spread(df: DataFrame, rows: int, each: int, *keys: str) -> DataFrame:
+    """df, of about `rows` rows that take long, dealt to a task for each `each` of them, and to one for every core at least; by their bytes alone they would meet in few.
+
+    With keys, dealt by their hash: rows of equal keys meet, so that what is grouped by them then needs no further exchange, and no task groups more than its share.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *keys)

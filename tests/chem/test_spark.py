@@ -191,3 +191,17 @@ def test_joins_of_a_local_corpus_need_no_shuffle(spark, corpus):
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
         held.atoms.unpersist()
         held.bonds.unpersist()
+
+
+def test_bonds_of_graphs_are_judged_without_broadcasts(spark):
+    """Ends and repeats are looked up by sorted joins: the driver holds none of them. A bond without ends is in error, not left out."""
+    atoms = spark.range(200).selectExpr("id AS mol_id", "explode(array(0, 1, 2)) AS atom_id")
+    bonds = spark.range(200).selectExpr("id AS mol_id", "explode(array((0, 1), (1, 1), (1, 7), (0, 2), (2, 0), (CAST(NULL AS INT), NULL))) AS e", "'S' AS label").selectExpr("mol_id", "e.col1 AS a", "e.col2 AS b", "label")
+    good, bad = tables.from_graphs(atoms, bonds)
+    assert sorted(map(tuple, good.collect())) == [(k, 0, 1, "S") for k in range(200)]
+    want = [(1, 1, "self_loop"), (1, 7, "unknown_atom"), (0, 2, "duplicate_bond"), (2, 0, "duplicate_bond"), (None, None, "unknown_atom")]
+    assert {tuple(r) for r in bad.select("mol_id", "a", "b", "error").collect()} == {(k, *w) for k in range(200) for w in want}
+    for found in (good, bad):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
