@@ -24,6 +24,10 @@ from graphsieve.workspace import spread, written
 FORMAT_VERSION = 2
 #: Texts that one task prepares, about half a millisecond each.
 TEXTS = 20_000
+#: So many texts, of some 3 KB as they are prepared, are broadcast to the molecules; these never are, however few bytes their ids take.
+FEW_TEXTS = 5_000
+#: Molecules whose atoms and bonds one task unfolds, writes, indexes or groups.
+MOLECULES = 20_000
 #: Atoms and bonds of graphs that one task looks up, and graphs with about as many that it prepares.
 ROWS = 200_000
 ATOM_FIELDS = {
@@ -137,11 +141,14 @@ class Corpus:
 
 
 def from_smiles(molecules: DataFrame) -> Corpus:
-    """molecules: mol_id bigint, smiles string. Distinct texts are prepared now and stored in the shared folder; the tables read them from there."""
+    """molecules: mol_id bigint, smiles string. Distinct texts are prepared now and stored in the shared folder; the tables read them from there, where there are few of them by tasks of MOLECULES molecules, dealt by mol_id."""
     molecules = molecules.select(F.col("mol_id").cast("long").alias("mol_id"), F.col("smiles").cast("string").alias("smiles"))
-    texts = spread(molecules.select("smiles").distinct(), molecules.count(), TEXTS)
+    rows = molecules.count()
+    texts = spread(molecules.select("smiles").distinct(), rows, TEXTS)
     prepared = written(texts.mapInArrow(_prepare, PREPARED), "prepared")
-    joined = molecules.join(prepared, molecules.smiles.eqNullSafe(prepared.smiles)).drop(prepared.smiles)
+    few = prepared.count() <= FEW_TEXTS
+    molecules = spread(molecules, rows, MOLECULES, "mol_id") if few else molecules  # a few small files of ids unfold to very many atoms
+    joined = molecules.join(F.broadcast(prepared) if few else prepared.hint("merge"), molecules.smiles.eqNullSafe(prepared.smiles)).drop(prepared.smiles)
     atoms = joined.select("mol_id", F.explode("atoms").alias("x")).select("mol_id", "x.*")
     bonds = joined.select("mol_id", F.explode("bonds").alias("x")).select("mol_id", "x.*")
     errors = joined.where("error IS NOT NULL").select("mol_id", "smiles", "error", "error_start", "error_end")

@@ -205,3 +205,25 @@ def test_bonds_of_graphs_are_judged_without_broadcasts(spark):
         found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def _many(spark):
+    return spark.range(0, 400, 1, 1).selectExpr("id AS mol_id", "element_at(array('CCO', 'CC(=O)O', 'c1ccccc1O', 'C#N'), CAST(id % 4 AS INT) + 1) AS smiles")
+
+
+def _most_in_a_task(df):
+    """The most distinct mol_id of a partition."""
+    from pyspark.sql import functions as F
+
+    return df.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("mol_id").alias("n")).agg({"n": "max"}).first()[0]
+
+
+def test_molecules_of_one_file_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Few bytes of ids unfold to many atoms; what is grouped by molecule then needs no further exchange."""
+    monkeypatch.setattr(tables, "MOLECULES", 20)
+    held = tables.from_smiles(_many(spark))
+    for df in (held.packed, held.atoms, held.bonds, screen.features(held)):
+        assert _most_in_a_task(df.select("mol_id")) < 60
+    found = match.counts(held, "*", joined=True)
+    assert {r.mol_id: r.n for r in found.collect()} == {k: (3, 4, 7, 2)[k % 4] for k in range(400)}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
