@@ -25,11 +25,11 @@ from graphsieve.plans.columnar import LABELS, Batch
 from graphsieve.plans.kernel import STATES, bond_states
 from graphsieve.smarts import edit
 from graphsieve.smarts.query import Query, parse
-from graphsieve.sources.tables import Corpus
+from graphsieve.sources.tables import MOLECULES, Corpus
 from graphsieve.workspace import spread, written
 
-#: Candidate molecules that one task matches.
-MOLECULES = 50_000
+#: Index rows of the keys that are asked for that one task sums by molecule.
+POSTINGS = 1_000_000
 FAMILIES = ("count", "edge", "path3", "path4", "star3")
 
 
@@ -285,41 +285,46 @@ def joined_features(corpus: Corpus) -> DataFrame:
     return rows.groupBy("mol_id", "family", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fitting(patterns: list[tuple[str, str]]):
-    """Keys with the patterns that they fit. Each pattern is compiled once a task; as a join, it would be for each key."""
+def _fitting(patterns: list[tuple[str, str, int]]):
+    """Keys with the numbers of the patterns that they fit. Each pattern is compiled once a task; as a join, it would be for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(family, pattern, re.compile(pattern).search) for family, pattern in patterns]
+        compiled = [(family, slot, re.compile(pattern).search) for family, pattern, slot in patterns]
         for batch in batches:
-            known: dict[str, list[str]] = {}
-            for family, key in zip(batch.column("family").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                known.setdefault(family, []).append(key)
-            for family, pattern, fits in compiled:
-                if keys := [k for k in known.get(family, ()) if fits(k)]:
-                    yield pa.RecordBatch.from_arrays([pa.array([family] * len(keys)), pa.array(keys), pa.array([pattern] * len(keys))], ["family", "key", "pattern"])
+            known: dict[str, list[tuple[str, int]]] = {}
+            for family, *word in zip(*(batch.column(c).to_pylist() for c in ("family", "key", "molecules")), strict=True):
+                known.setdefault(family, []).append(word)
+            for family, slot, fits in compiled:
+                if found := [w for w in known.get(family, ()) if fits(w[0])]:
+                    keys, molecules = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([family] * len(found)), pa.array(keys), pa.array(molecules), pa.array([slot] * len(found), pa.int32())], ["family", "key", "molecules", "slot"])
 
     return run
 
 
-def candidates(index: DataFrame, needs: DataFrame, families: tuple[str, ...] = FAMILIES, words: DataFrame | None = None) -> DataFrame:
+def candidates(index: DataFrame, needs: DataFrame, families: tuple[str, ...] = FAMILIES, words: DataFrame | None = None, share: float = 1.0) -> DataFrame:
     """(query_id, mol_id) of pairs in which the molecule has all that the pattern needs.
 
     What several patterns need alike is looked up once. It is held against words, the dictionary of distinct keys, taken from the index if it is not
-    given; the keys that fit are stored, and only index rows of these keys are joined and summed by molecule. The driver gets the distinct keys of the needs. No side is broadcast but by Spark's
-    own limit of size, and a key that most molecules have is split as any skewed one.
+    given; the keys that fit are stored, and only index rows of these keys are joined, dealt once by molecule, POSTINGS to a task, and summed there. share: how much of
+    what words counts is in the index. The driver gets the needs, and they alone are broadcast, but for what Spark's own limit of size lets it; a key that most
+    molecules have is split as any skewed one.
     """
-    needs = needs.where(F.col("family").isin(*families))
+    spark = index.sparkSession
+    asked = [(r.query_id, r.family, r.key, r.need) for r in needs.where(F.col("family").isin(*families)).collect()]
     index = index.where(F.col("family").isin(*families))
-    words = (dictionary(index) if words is None else words.where(F.col("family").isin(*families))).select("family", "key")
-    wanted = needs.select("family", F.col("key").alias("pattern")).distinct()
-    patterns = [(r.family, r.pattern) for r in wanted.where("family <> 'count'").collect()]
-    shapes = spread(words.where("family <> 'count'"), 0, 1).mapInArrow(_fitting(patterns), "family string, key string, pattern string")
-    facts = wanted.where("family = 'count'").select("family", F.col("pattern").alias("key"), "pattern")
-    fits = written(shapes.union(facts), "fits")
-    held = index.join(fits, ["family", "key"]).groupBy("mol_id", "family", "pattern").agg(F.sum("n").alias("n"))
-    met = held.join(needs.select("query_id", "family", F.col("key").alias("pattern"), "need"), ["family", "pattern"]).where("n >= need")
-    total = needs.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return met.groupBy("query_id", "mol_id").agg(F.count(F.lit(1)).alias("met")).join(total, "query_id").where("met = total").select("query_id", "mol_id")
+    words = (dictionary(index) if words is None else words.where(F.col("family").isin(*families))).select("family", "key", "molecules")
+    slots = {wanted: i for i, wanted in enumerate(sorted({(family, key) for _, family, key, _ in asked}))}
+    patterns = [(family, key, i) for (family, key), i in slots.items() if family != "count"]
+    shapes = spread(words.where("family <> 'count'"), 0, 1).mapInArrow(_fitting(patterns), "family string, key string, molecules long, slot int")
+    facts = F.broadcast(spark.createDataFrame([(family, key, i) for (family, key), i in slots.items() if family == "count"], "family string, key string, slot int"))
+    fits = written(shapes.union(words.join(facts, ["family", "key"]).select("family", "key", "molecules", "slot")), "fits")
+    rows = int((fits.agg(F.sum("molecules")).first()[0] or 0) * share)
+    held = spread(index.join(fits.drop("molecules"), ["family", "key"]).select("mol_id", "slot", "n"), rows, POSTINGS, "mol_id").groupBy("mol_id", "slot").agg(F.sum("n").alias("n"))
+    needed = spark.createDataFrame([(i, slots[family, key], need) for i, family, key, need in asked], "query_id long, slot int, need long")
+    total = needed.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    met = held.join(F.broadcast(needed), "slot").where("n >= need").groupBy("query_id", "mol_id").agg(F.count(F.lit(1)).alias("met"))
+    return met.join(F.broadcast(total), "query_id").where("met = total").select("query_id", "mol_id")
 
 
 def candidate_counts(index: DataFrame, needs: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
@@ -336,7 +341,7 @@ def may_match(index: DataFrame, needs: DataFrame) -> DataFrame:
 def exact(packed: DataFrame, found: DataFrame, patterns: list[tuple[int, Pattern]]) -> DataFrame:
     """(query_id, mol_id) of those candidates that match: each molecule is read once, with the list of patterns it is a candidate of."""
     lists = written(found.groupBy("mol_id").agg(F.collect_list("query_id").alias("chosen")), "chosen")
-    return by_batch(spread(packed.join(lists, "mol_id"), lists.count(), MOLECULES), patterns, "exists", "chosen").select("query_id", "mol_id")
+    return by_batch(spread(packed.join(lists.hint("merge"), "mol_id"), lists.count(), MOLECULES, "mol_id"), patterns, "exists", "chosen").select("query_id", "mol_id")
 
 
 def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, Pattern]], words: DataFrame | None = None) -> DataFrame:

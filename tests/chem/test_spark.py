@@ -227,3 +227,13 @@ def test_molecules_of_one_file_are_dealt_to_many_tasks(spark, monkeypatch):
     found = match.counts(held, "*", joined=True)
     assert {r.mol_id: r.n for r in found.collect()} == {k: (3, 4, 7, 2)[k % 4] for k in range(400)}
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_candidates_are_summed_in_shares(spark, monkeypatch):
+    """Index rows are dealt by molecule once, so many to a task, and summed there only."""
+    monkeypatch.setattr(screen, "POSTINGS", 50)
+    index = screen.features(tables.from_smiles(_many(spark)))
+    found = screen.candidates(index, screen.requirement_table(spark, [(1, "C=O"), (2, "c"), (3, "[Pt]")]))
+    assert sorted(map(tuple, found.collect())) == [(q, k) for q, own in ((1, 1), (2, 2)) for k in range(400) if k % 4 == own]
+    assert _most_in_a_task(found) < 60
+    assert screen.candidates(index, screen.requirement_table(spark, [(3, "[Pt]")])).count() == 0
