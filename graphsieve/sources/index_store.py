@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphsieve.operators import screen
 from graphsieve.operators.match import Pattern
-from graphsieve.sources.tables import Corpus
+from graphsieve.sources.tables import MOLECULES, Corpus
 
 #: A folder and a row of `shards` for each; so many ids at most come to the driver.
 MOST_SHARDS = 100_000
@@ -25,10 +25,12 @@ class IndexStore:
     packed: DataFrame
     words: DataFrame
     shards: DataFrame
+    #: Of all molecules that words counts, the share that the opened shards hold.
+    share: float = 1.0
 
     def candidates(self, patterns: list[tuple[int, Pattern]], families: tuple[str, ...] = screen.FAMILIES) -> DataFrame:
         """(query_id, mol_id); see screen.candidates."""
-        return screen.candidates(self.postings, screen.requirement_table(self.postings.sparkSession, patterns), families, self.words)
+        return screen.candidates(self.postings, screen.requirement_table(self.postings.sparkSession, patterns), families, self.words, self.share)
 
     def candidate_counts(self, patterns: list[tuple[int, Pattern]]) -> DataFrame:
         """(query_id, n), the sum over all shards that were opened."""
@@ -56,10 +58,14 @@ def write(corpus: Corpus, path: str, shards: int, codec: str = "zstd") -> IndexS
     held = F.lit([*bounds, *[(1 << 63) - 1] * ((1 << levels) - 1 - len(bounds))]).cast("array<bigint>")
     steps = F.lit([1 << i for i in reversed(range(levels))])
     shard = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(held, at + step - 1) < F.col("mol_id"), step).otherwise(0))
-    packed = corpus.packed.withColumn("shard_id", shard).repartition("shard_id", F.pmod(F.xxhash64("mol_id"), F.lit(16))).sortWithinPartitions("shard_id", "mol_id")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-corpus.packed.count() // MOLECULES))
+    pieces = -(-tasks // (len(bounds) + 1))
+    piece = (F.col("shard_id") * pieces + F.pmod(F.xxhash64("mol_id"), F.lit(pieces))).cast("int")
+    packed = corpus.packed.withColumn("shard_id", shard).repartitionById(tasks, piece).sortWithinPartitions("shard_id", "mol_id")
     packed.write.mode("overwrite").option("compression", codec).partitionBy("shard_id").parquet(f"{path}/packed")
     packed = spark.read.parquet(f"{path}/packed")
-    index = screen.features(Corpus(corpus.molecules, corpus.atoms, corpus.bonds, corpus.errors, packed)).withColumn("shard_id", shard)
+    dealt = packed.repartitionById(tasks, piece)  # the index of a molecule is many rows, and these are sorted: as few molecules a task as before
+    index = screen.features(Corpus(corpus.molecules, corpus.atoms, corpus.bonds, corpus.errors, dealt)).withColumn("shard_id", shard)
     index.sortWithinPartitions("shard_id", "family", "key", "mol_id").write.mode("overwrite").option("compression", codec).partitionBy("shard_id").parquet(f"{path}/postings")
     screen.dictionary(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/words")
     about = packed.groupBy("shard_id").agg(F.min("mol_id").alias("first"), F.max("mol_id").alias("last"), F.count(F.lit(1)).alias("molecules"))
@@ -70,7 +76,8 @@ def write(corpus: Corpus, path: str, shards: int, codec: str = "zstd") -> IndexS
 def read(spark: SparkSession, path: str, shards: list[int] | None = None) -> IndexStore:
     """The store, or some of its shards; raises ValueError if shards overlap or one is asked for that is not there."""
     about = spark.read.parquet(f"{path}/shards")
-    held = sorted((r.first, r.last, r.shard_id) for r in about.collect())
+    rows = about.collect()
+    held = sorted((r.first, r.last, r.shard_id) for r in rows)
     for (_, last, a), (first, _, b) in zip(held, held[1:], strict=False):
         if first <= last:
             raise ValueError(f"shards {a} and {b} overlap")
@@ -81,4 +88,6 @@ def read(spark: SparkSession, path: str, shards: list[int] | None = None) -> Ind
         df = spark.read.parquet(f"{path}/{name}")
         return df.drop("shard_id") if shards is None else df.where(F.col("shard_id").isin(shards)).drop("shard_id")
 
-    return IndexStore(table("postings"), table("packed"), spark.read.parquet(f"{path}/words"), about if shards is None else about.where(F.col("shard_id").isin(shards)))
+    opened = about if shards is None else about.where(F.col("shard_id").isin(shards))
+    share = sum(r.molecules for r in rows if shards is None or r.shard_id in set(shards)) / max(1, sum(r.molecules for r in rows))
+    return IndexStore(table("postings"), table("packed"), spark.read.parquet(f"{path}/words"), opened, share)

@@ -237,3 +237,18 @@ def test_candidates_are_summed_in_shares(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(q, k) for q, own in ((1, 1), (2, 2)) for k in range(400) if k % 4 == own]
     assert _most_in_a_task(found) < 60
     assert screen.candidates(index, screen.requirement_table(spark, [(3, "[Pt]")])).count() == 0
+
+
+def test_shards_are_written_by_tasks_of_few_molecules(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphsieve.sources import index_store
+
+    monkeypatch.setattr(index_store, "MOLECULES", 20)
+    store = index_store.write(tables.from_smiles(_many(spark)), str(tmp_path / "store"), 2)
+    for df in (store.postings, store.packed):
+        assert df.groupBy(F.input_file_name().alias("f")).agg(F.count_distinct("mol_id").alias("n")).agg({"n": "max"}).first()[0] < 60
+    assert [r.molecules for r in store.shards.orderBy("shard_id").collect()] == [200, 200]
+    assert [index_store.read(spark, str(tmp_path / "store"), own).share for own in (None, [0], [1])] == [1.0, 0.5, 0.5]
+    found = [tuple(r) for k in (0, 1) for r in index_store.read(spark, str(tmp_path / "store"), [k]).hits([(1, "C=O"), (2, "c")]).collect()]
+    assert sorted(found) == [(q, k) for q, own in ((1, 1), (2, 2)) for k in range(400) if k % 4 == own]
