@@ -240,8 +240,40 @@ def features(corpus: Corpus) -> DataFrame:
     return corpus.packed.select("mol_id", *_READ).mapInArrow(_index, _FEATURES)
 
 
-def dictionary(index: DataFrame) -> DataFrame:
-    """(family, key, molecules, total, most): the distinct keys of an index, which are bounded by the labels there are, with their numbers."""
+_WORDS = "family string, key string, molecules long, total long, most long"
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each batch with their numbers; a row stands for as many molecules as its column of that name says."""
+
+    def rows(family: str, keys: list[str], *numbers: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([family] * len(keys), pa.string()), pa.array(keys, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], ["family", "key", "molecules", "total", "most"])
+
+    for held in batches:
+        if not held.num_rows:
+            continue
+        batch, times = Batch({c: held.column(c) for c in _READ}), held.column("molecules").to_numpy()
+        facts = {key: (times[n > 0].sum(), (n * times).sum(), n.max()) for key, n in _facts(batch) if n.any()}
+        yield rows("count", list(facts), *np.array(list(facts.values()), np.int64).reshape(-1, 3).T)
+        for family, mol, place, n, texts in _shapes(batch):
+            molecules, total, most = (np.zeros(len(texts), np.int64) for _ in range(3))
+            np.add.at(molecules, place, times[mol])
+            np.add.at(total, place, n * times[mol])
+            np.maximum.at(most, place, n)
+            yield rows(family, texts, molecules, total, most)
+
+
+def dictionary(index: DataFrame | Corpus) -> DataFrame:
+    """(family, key, molecules, total, most): the distinct keys of an index, which are bounded by the labels there are, with their numbers.
+
+    Of a corpus they come without its index: summed by batches of packed rows, and where its distinct texts are stored, from these, each of them once.
+    """
+    if isinstance(index, Corpus):
+        if index.packed is None:
+            return dictionary(joined_features(index))
+        held = index.packed.withColumn("molecules", F.lit(1).cast("long")) if index.texts is None else index.texts
+        sums = [F.sum("molecules").alias("molecules"), F.sum("total").alias("total"), F.max("most").alias("most")]
+        return held.select("molecules", *_READ).mapInArrow(_words, _WORDS).groupBy("family", "key").agg(*sums)
     return index.groupBy("family", "key").agg(F.count(F.lit(1)).alias("molecules"), F.sum("n").alias("total"), F.max("n").alias("most"))
 
 
@@ -349,10 +381,10 @@ def hits(corpus: Corpus, index: DataFrame, patterns: list[tuple[int, Pattern]],
     return exact(corpus.packed, candidates(index, requirement_table(index.sparkSession, patterns), words=words), patterns)
 
 
-def statistics(index: DataFrame) -> DataFrame:
+def statistics(index: DataFrame | Corpus) -> DataFrame:
     """(family, keys, postings, total, most, atom_labels, bond_labels): of each family the distinct keys, index rows, features, and the labels its keys are made of;
-    the family count, whose most frequent key stands once for each molecule, has no labels."""
-    words = dictionary(index)
+    the family count, whose most frequent key stands once for each molecule, has no labels. Of an index, or of a corpus as `dictionary` takes it; its keys are stored."""
+    words = written(dictionary(index), "words")
     every = F.filter(F.split("key", "-"), lambda x: x != "")
     labels = F.when(F.col("family") == "star3", F.concat(F.slice(every, 1, 1), F.flatten(F.transform(F.slice(every, 2, 3), lambda x: F.array(F.substring(x, 1, 2), F.substring(x, 3, 99)))))).otherwise(every)
     spelled = words.where("family <> 'count'").select("family", F.explode(labels).alias("label")).distinct()
@@ -366,9 +398,9 @@ def requirement_statistics(needs: DataFrame) -> DataFrame:
     return needs.groupBy("query_id", "family").agg(F.count(F.lit(1)).alias("features"), F.sum("need").alias("required"))
 
 
-def mine(index: DataFrame, least: int = 4, top: int | None = None) -> DataFrame:
-    """(family, key, support): paths and stars that stand in `least` molecules or more, the most supported first within their family."""
-    found = dictionary(index.where("family <> 'count'")).select("family", "key", F.col("molecules").alias("support")).where(F.col("support") >= least)
+def mine(index: DataFrame | Corpus, least: int = 4, top: int | None = None) -> DataFrame:
+    """(family, key, support): paths and stars that stand in `least` molecules or more, the most supported first within their family; of an index, or of a corpus as `dictionary` takes it."""
+    found = dictionary(index).where("family <> 'count'").select("family", "key", F.col("molecules").alias("support")).where(F.col("support") >= least)
     if top is None:
         return found
     place = Window.partitionBy("family").orderBy(F.desc("support"), "key")
@@ -394,6 +426,6 @@ def key_smarts(family: str | F.Column = "family", key: str | F.Column = "key") -
     return F.when(family == "star3", F.concat(atom(F.get(parts, 0)), F.array_join(arms, ""))).otherwise(chain)
 
 
-def mined_patterns(index: DataFrame, least: int = 4, top: int | None = None) -> DataFrame:
+def mined_patterns(index: DataFrame | Corpus, least: int = 4, top: int | None = None) -> DataFrame:
     """(family, smarts, support) of `mine`'s features as patterns; a pattern matches its support of molecules or more, as it allows further bonds."""
     return mine(index, least, top).select("family", key_smarts().alias("smarts"), "support")

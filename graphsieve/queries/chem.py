@@ -644,8 +644,7 @@ ORACLES["stored_corpus"] = counted_sql(pair_sql(_C, _O, "e.label = 'S'"))
 @query
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keys, index rows, features and labels of each family."""
-    _, index = _index(spark, sf_dir)
-    return screen.statistics(index).where("family <> 'count'")
+    return screen.statistics(corpus(spark, sf_dir)).where("family <> 'count'")
 
 
 ORACLES["index_statistics"] = f"""WITH {tables()}, {_KEYS}, rows_ AS (SELECT family, key, n FROM part JOIN counted ON p_partkey % {SIZE} = lib),
@@ -667,8 +666,7 @@ ORACLES["requirement_statistics"] = "SELECT n AS query_id, family, 1::BIGINT AS
 @query
 def mine_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds, paths of 3 and 4 atoms and stars that stand in enough molecules."""
-    _, index = _index(spark, sf_dir)
-    return screen.mine(index)
+    return screen.mine(corpus(spark, sf_dir))
 
 
 ORACLES["mine_shapes"] = f"WITH {tables()}, {_KEYS} SELECT family, key, count(*) AS support FROM part JOIN counted ON p_partkey % {SIZE} = lib GROUP BY family, key HAVING count(*) >= 4"
@@ -677,8 +675,7 @@ ORACLES["mine_shapes"] = f"WITH {tables()}, {_KEYS} SELECT family, key, count(*)
 @query
 def mine_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most supported of each family."""
-    _, index = _index(spark, sf_dir)
-    return screen.mine(index, top=5)
+    return screen.mine(corpus(spark, sf_dir), top=5)
 
 
 ORACLES["mine_top"] = f"WITH {tables()}, {_KEYS} SELECT family, key, count(*) AS support FROM part JOIN counted ON p_partkey % {SIZE} = lib GROUP BY family, key HAVING count(*) >= 4 QUALIFY row_number() OVER (PARTITION BY family ORDER BY count(*) DESC, key) <= 5"
@@ -687,8 +684,8 @@ ORACLES["mine_top"] = f"WITH {tables()}, {_KEYS} SELECT family, key, count(*) AS
 @query
 def mine_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most supported features as patterns, and in how many molecules these then match: as many as have the feature."""
-    held, index = _index(spark, sf_dir)
-    best = screen.mine(index, top=20).select("family", "key", screen.key_smarts().alias("smarts")).orderBy("family", "key").collect()
+    held = corpus(spark, sf_dir)
+    best = screen.mine(held, top=20).select("family", "key", screen.key_smarts().alias("smarts")).orderBy("family", "key").collect()
     found = match.by_batch(held.packed, [(i, r.smarts) for i, r in enumerate(best)], "exists").groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"))
     names = spark.createDataFrame([(i, r.family, r.key) for i, r in enumerate(best)], "query_id long, family string, key string")
     return names.join(found, "query_id").select("family", "key", "matched")

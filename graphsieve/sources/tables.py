@@ -39,7 +39,7 @@ PACKED = (*(f"atom_{k}" for k in ATOM_TYPES), *(f"bond_{k}" for k in BOND_TYPES)
 _TYPES = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 _ATOM, _BOND = {"atom_id": "int", **ATOM_FIELDS}, {"bond_id": "int", **BOND_FIELDS}
 PREPARED = (
-    "smiles string, error string, error_start int, error_end int, "
+    "smiles string, molecules long, error string, error_start int, error_end int, "
     f"atoms array<struct<{','.join(f'{k}:{v}' for k, v in _ATOM.items())}>>, bonds array<struct<{','.join(f'{k}:{v}' for k, v in _BOND.items())}>>, " + ", ".join(f"{k} binary" for k in PACKED)
 )
 
@@ -52,7 +52,7 @@ def _lists(sizes: list[int], fields: dict[str, str], values: dict[str, list]) ->
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
 
 
-def _prepared(texts: list[str | None]) -> pa.RecordBatch:
+def _prepared(texts: list[str | None], numbers: pa.Array) -> pa.RecordBatch:
     errors: list[tuple] = []
     molecules: list[Molecule | None] = []
     for text in texts:
@@ -62,8 +62,8 @@ def _prepared(texts: list[str | None]) -> pa.RecordBatch:
         except SmilesError as e:
             molecules.append(None)
             errors.append(("invalid_target_smiles", e.start, e.end))
-    columns = [pa.array(texts, pa.string()), *(pa.array([e[i] for e in errors], pa.string() if i == 0 else pa.int32()) for i in range(3))]
-    return pa.RecordBatch.from_arrays([*columns, *_columns(molecules)], ["smiles", "error", "error_start", "error_end", "atoms", "bonds", *PACKED])
+    columns = [pa.array(texts, pa.string()), numbers, *(pa.array([e[i] for e in errors], pa.string() if i == 0 else pa.int32()) for i in range(3))]
+    return pa.RecordBatch.from_arrays([*columns, *_columns(molecules)], ["smiles", "molecules", "error", "error_start", "error_end", "atoms", "bonds", *PACKED])
 
 
 def _columns(molecules: list[Molecule | None]) -> list[pa.Array]:
@@ -79,19 +79,22 @@ def _columns(molecules: list[Molecule | None]) -> list[pa.Array]:
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
-            yield _prepared(batch.column(0).slice(start, 1000).to_pylist())
+            rows = batch.slice(start, 1000)
+            yield _prepared(rows.column("smiles").to_pylist(), rows.column("molecules"))
 
 
 @dataclass
 class Corpus:
     """molecules (mol_id, smiles), atoms (mol_id, atom_id, ...), bonds (mol_id, bond_id, a, b, label, in_ring), errors (mol_id, smiles, error, ...),
-    packed (mol_id, smiles, PACKED columns), one row a molecule, or None where there are only graphs."""
+    packed (mol_id, smiles, PACKED columns), one row a molecule, or None where there are only graphs; texts (molecules, PACKED columns), one row for each
+    distinct text of packed with the number of molecules that have it, or None where that was not stored."""
 
     molecules: DataFrame
     atoms: DataFrame
     bonds: DataFrame
     errors: DataFrame
     packed: DataFrame | None = None
+    texts: DataFrame | None = None
 
     @property
     def directed(self) -> DataFrame:
@@ -106,7 +109,7 @@ class Corpus:
         is false, which is left to the caller; otherwise it deals anew by mol_id and atom.
         """
         atoms, bonds = (df.repartition(partitions, "mol_id").persist() for df in (self.atoms, self.bonds))
-        return Corpus(self.molecules, atoms, bonds, self.errors, self.packed)
+        return Corpus(self.molecules, atoms, bonds, self.errors, self.packed, self.texts)
 
     def write(self, path: str, shards: int | None = None) -> None:
         """Parquet with zstd; with shards, partitioned by shard_id, the hash of mol_id. The tables are written side by side."""
@@ -141,18 +144,19 @@ class Corpus:
 
 
 def from_smiles(molecules: DataFrame) -> Corpus:
-    """molecules: mol_id bigint, smiles string. Distinct texts are prepared now and stored in the shared folder; the tables read them from there, where there are few of them by tasks of MOLECULES molecules, dealt by mol_id."""
+    """molecules: mol_id bigint, smiles string. Distinct texts are counted and prepared now and stored in the shared folder; the tables read them from there, where there are few of them by tasks of MOLECULES molecules, dealt by mol_id."""
     molecules = molecules.select(F.col("mol_id").cast("long").alias("mol_id"), F.col("smiles").cast("string").alias("smiles"))
-    rows = molecules.count()
-    texts = spread(molecules.select("smiles").distinct(), rows, TEXTS)
-    prepared = written(texts.mapInArrow(_prepare, PREPARED), "prepared")
-    few = prepared.count() <= FEW_TEXTS
+    texts = written(molecules.groupBy("smiles").agg(F.count(F.lit(1)).alias("molecules")), "texts")
+    distinct, rows = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("molecules"), F.lit(0))).first()
+    prepared = written(spread(texts, distinct, TEXTS).mapInArrow(_prepare, PREPARED), "prepared")
+    few = distinct <= FEW_TEXTS
     molecules = spread(molecules, rows, MOLECULES, "mol_id") if few else molecules  # a few small files of ids unfold to very many atoms
     joined = molecules.join(F.broadcast(prepared) if few else prepared.hint("merge"), molecules.smiles.eqNullSafe(prepared.smiles)).drop(prepared.smiles)
     atoms = joined.select("mol_id", F.explode("atoms").alias("x")).select("mol_id", "x.*")
     bonds = joined.select("mol_id", F.explode("bonds").alias("x")).select("mol_id", "x.*")
     errors = joined.where("error IS NOT NULL").select("mol_id", "smiles", "error", "error_start", "error_end")
-    return Corpus(molecules, atoms, bonds, errors, joined.where("error IS NULL").select("mol_id", "smiles", *PACKED))
+    good = prepared.where("error IS NULL").select("molecules", *PACKED)
+    return Corpus(molecules, atoms, bonds, errors, joined.where("error IS NULL").select("mol_id", "smiles", *PACKED), good)
 
 
 def from_graphs(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -252,3 +252,29 @@ def test_shards_are_written_by_tasks_of_few_molecules(spark, monkeypatch, tmp_pa
     assert [index_store.read(spark, str(tmp_path / "store"), own).share for own in (None, [0], [1])] == [1.0, 0.5, 0.5]
     found = [tuple(r) for k in (0, 1) for r in index_store.read(spark, str(tmp_path / "store"), [k]).hits([(1, "C=O"), (2, "c")]).collect()]
     assert sorted(found) == [(q, k) for q, own in ((1, 1), (2, 2)) for k in range(400) if k % 4 == own]
+
+
+def test_dictionary_of_a_corpus_needs_no_index(spark, tmp_path):
+    """What is summed from distinct texts with their numbers, from packed rows, and by joins is what the index has."""
+    bad = [(400 + k, text) for k, text in enumerate(["C(", None, "", "C(", "[Na+].[Cl-]", "C"])]
+    held = tables.from_smiles(_many(spark).union(spark.createDataFrame(bad, "mol_id long, smiles string")))
+    want = sorted(map(tuple, screen.dictionary(screen.features(held)).collect()))
+    assert {r[:2]: r[2:] for r in want}["count", "atoms"] == (402, 1603, 7)
+    held.write(str(tmp_path / "corpus"))
+    for corpus in (held, tables.Corpus.read(spark, str(tmp_path / "corpus")), tables.Corpus(held.molecules, held.atoms, held.bonds, held.errors)):
+        assert sorted(map(tuple, screen.dictionary(corpus).collect())) == want
+    none = tables.from_smiles(spark.createDataFrame([], "mol_id long, smiles string"))
+    assert screen.dictionary(none).count() == 0 and held.texts.agg({"molecules": "sum"}).first()[0] == 402 and held.texts.count() == 6
+
+
+def test_mining_reads_each_text_once(spark, tmp_path):
+    """Ten times the molecules with the same texts are ten times the support, from no more rows than there are texts."""
+    from pyspark.sql import functions as F
+
+    for k in (1, 10):
+        part = spark.read.parquet(f"{SF}/part.parquet").crossJoin(spark.range(k)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 2000)
+        part.drop("id").write.parquet(str(tmp_path / str(k) / "part.parquet"))
+    for name in ("mine_shapes", "mine_top"):
+        once, tenfold = (chem.QUERIES[name](spark, str(tmp_path / str(k))) for k in (1, 10))
+        assert {(r.family, r.key): 10 * r.support for r in once.collect()}.items() <= {(r.family, r.key): r.support for r in tenfold.collect()}.items()
+        assert spark.read.parquet(*tenfold.inputFiles()).count() <= 200
